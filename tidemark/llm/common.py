@@ -82,13 +82,10 @@ def process_cache() -> dict:
     return sys.modules[name].store
 
 
-def slices(batch: pa.RecordBatch, columns: list[int], limit: int) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the texts of one piece hold at most `limit` bytes, or are one row."""
     n = batch.num_rows
-    sizes = [0] * n
-    for c in columns:
-        for i, v in enumerate(pa.compute.binary_length(batch.column(c)).to_pylist()):
-            sizes[i] += v or 0
+    sizes = [v or 0 for v in pa.compute.binary_length(batch.column(column)).to_pylist()]
     begin = total = 0
     for i in range(n):
         if i > begin and total + sizes[i] > limit:
@@ -108,10 +105,10 @@ def annotate(
     keep: list[str] | None = None,
     where: int | None = None,
 ) -> DataFrame:
-    """Appends columns that a kernel computes from text columns, in Arrow batches.
+    """Appends columns that a kernel computes from a text column and others, in Arrow batches.
 
     `make(payload)` runs once a task and returns the kernel: it takes one list
-    per text column and returns one list or Arrow array per field. `keep` names
+    per column of `texts`, the text first, and returns one list or Arrow array per field. `keep` names
     the columns that stay (all by default); a kept column with the name of a
     field gives way to the field. With `where`, rows whose field of that index
     is false are left out. `payload` is broadcast: callers bound its size.
@@ -134,7 +131,7 @@ def annotate(
 
         kernel = make(sent.value if sent is not None else None)
         for batch in batches:
-            for piece in slices(batch, at, limit):
+            for piece in slices(batch, at[0], limit):
                 got = kernel(*(piece.column(i).to_pylist() for i in at))
                 cols = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(got, types_)]
                 made = pa.RecordBatch.from_arrays([*(piece.column(i) for i in own), *cols], names=out)

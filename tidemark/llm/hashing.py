@@ -43,9 +43,14 @@ def separators(chars: bytes) -> np.ndarray:
 BLANKS = bytes([32, 9, 10, 11, 12, 13])
 
 
-def hash_words(data: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begins, ends and hashes of the maximal runs of bytes that aren't blank."""
+def hash_words(data: np.ndarray, blank: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Begins, ends and hashes of the maximal runs of bytes that aren't blank.
+
+    For each length in `prefixes` an array of the hashes of the runs' first
+    bytes follows; it is 0 where the run is shorter.
+    """
     begins, ends, hashes = [], [], []
+    more: list[list[np.ndarray]] = [[] for _ in prefixes]
     at, n = 0, len(data)
     while at < n:
         to = min(n, at + WINDOW)
@@ -68,11 +73,14 @@ def hash_words(data: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndar
             begins.append(b + at)
             ends.append(e + at)
             hashes.append(mix((total[e] - total[b]) * down[b]))
+            for k, own in zip(prefixes, more):
+                p = mix((total[np.minimum(b + k, len(part))] - total[b]) * down[b] + np.uint64(k))
+                own.append(np.where(e - b >= k, p, np.uint64(0)))
         at = to
     if not begins:
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64)
-    return np.concatenate(begins), np.concatenate(ends), np.concatenate(hashes)
+        return none, none, *(np.zeros(0, np.uint64) for _ in range(1 + len(prefixes)))
+    return np.concatenate(begins), np.concatenate(ends), np.concatenate(hashes), *map(np.concatenate, more)
 
 
 def join_texts(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
