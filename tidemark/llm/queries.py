@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, quality, sharding
+from tidemark.llm import bpe, decontam, langid, quality, sharding, toxicity
 from tidemark.llm.common import table
+from tidemark.llm.samples import fold
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,18 +22,41 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def _held_out(folds: int, which: int):
+    return F.coalesce(fold("doc_id", folds) == which, F.lit(False)).alias("held_out")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs), keep=["doc_id"], real=False)
+    return found.select("doc_id", _held_out(langid.FOLDS, langid.HELD_OUT), "lang_pred", "score")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"], real=False)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"], real=False)
+    return found.select("doc_id", _held_out(toxicity.FOLDS, 0), "score", "predicted")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary or tokenizer_path("word_bpe_49k.json"), keep=["doc_id"], real=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
+    "op6_decontamination": op6_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op10_bpe": op10_bpe,
 }
 
