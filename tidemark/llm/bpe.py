@@ -47,7 +47,10 @@ _NEWER = [
 #: Lower case newer than this Python's tables: first upper, last upper, distance.
 _NEWER_CASES = [(0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27)]
 _LOWER = {i: i + d for a, b, d in _NEWER_CASES for i in range(a, b + 1)} | {0x3A3: 0x3C3}  # and a sigma has one lower case here
-_NEVER = 1 << 30
+SHIFT = 20
+_NEVER = 1 << 50
+_ID = (1 << SHIFT) - 1
+_SIMPLE = frozenset(".,!?;:")
 
 FIELDS = [
     T.StructField("n_tokens", T.LongType()),
@@ -70,18 +73,24 @@ def byte_letters() -> list[str]:
     return out
 
 
-class _Words(dict):
-    """White-space-free stretch -> its ids and pieces; filled on demand and emptied when full."""
+class _Cache(dict):
+    """Key -> atomic value, filled on demand by `make`; of two generations the older one goes when the newer is full."""
 
-    def __init__(self, codec: "Codec", which: int):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.codec, self.which = codec, which
+        self.make, self.size, self.old = make, size, {}
 
-    def __missing__(self, stretch: str):
-        both = self.codec.stretch(stretch)
-        if len(stretch) <= CACHE_CHARS:
-            self.codec.remember(stretch, both)
-        return both[self.which]
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > CACHE_CHARS:
+                return value
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Codec:
@@ -93,10 +102,10 @@ class Codec:
         vocab = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         self.pieces = {i: p for p, i in vocab.items()}
-        self.ranks = {}
+        self.ranks: dict[int, int] = {}  # two ids -> rank and merged id
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.ranks.setdefault(vocab[a] << SHIFT | vocab[b], rank << SHIFT | vocab[a + b])
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + self.end] for c in letters]
@@ -111,15 +120,9 @@ class Codec:
         self.words = regex.compile(pattern, regex.V1)
         self.space = regex.compile(_SPACE)
         self.odd = regex.compile("[\x1c-\x1f]")
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.ids, self.text = _Words(self, 0), _Words(self, 1)
-
-    def remember(self, stretch: str, both: tuple[bytes, str]) -> None:
-        if len(self.ids) >= CACHE_WORDS:
-            self.ids.clear()
-            self.text.clear()
-        dict.__setitem__(self.ids, stretch, both[0])
-        dict.__setitem__(self.text, stretch, both[1])
+        self.word_ids = _Cache(lambda w: struct.pack(f"<{len(i := self.merge(w.encode('utf-8', 'surrogatepass')))}I", *i), CACHE_WORDS)
+        self.ids = _Cache(lambda s: b"".join(map(self.word_ids.__getitem__, self.split(s))), CACHE_WORDS)
+        self.text = _Cache(lambda s: "".join([self.pieces[i] + " " for (i,) in struct.iter_unpack("<I", self.ids[s])]), CACHE_WORDS)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word, by the rank array."""
@@ -129,19 +132,18 @@ class Codec:
         if n > SCAN_PARTS:
             return self.merge_long(parts)
         get = self.ranks.get
-        none = (_NEVER, -1)
-        pairs = [get(p, none) for p in zip(parts, parts[1:])]
+        pairs = [get(a << SHIFT | b, _NEVER) for a, b in zip(parts, parts[1:])]
         while pairs:
             best = min(pairs)
-            if best[0] == _NEVER:
+            if best == _NEVER:
                 break
             i = pairs.index(best)
-            parts[i : i + 2] = [best[1]]
-            del pairs[i]
+            parts[i] = best & _ID
+            del parts[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = get((parts[i - 1], parts[i]), none)
+                pairs[i - 1] = get(parts[i - 1] << SHIFT | parts[i], _NEVER)
             if i < len(pairs):
-                pairs[i] = get((parts[i], parts[i + 1]), none)
+                pairs[i] = get(parts[i] << SHIFT | parts[i + 1], _NEVER)
         return parts
 
     def merge_long(self, parts: list[int]) -> list[int]:
@@ -150,7 +152,7 @@ class Codec:
 
         n, get = len(parts), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r[0], i, r[1], parts[i], parts[i + 1]) for i in range(n - 1) if (r := get((parts[i], parts[i + 1])))]
+        heap = [(r >> SHIFT, i, r & _ID, parts[i], parts[i + 1]) for i in range(n - 1) if (r := get(parts[i] << SHIFT | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             _, i, made, a, b = heapq.heappop(heap)
@@ -162,27 +164,26 @@ class Codec:
             if after[j] < n:
                 before[after[j]] = i
             for x in (before[i], i):
-                if x >= 0 and after[x] < n and (r := get((parts[x], parts[after[x]]))):
-                    heapq.heappush(heap, (r[0], x, r[1], parts[x], parts[after[x]]))
+                if x >= 0 and after[x] < n and (r := get(parts[x] << SHIFT | parts[after[x]])) is not None:
+                    heapq.heappush(heap, (r >> SHIFT, x, r & _ID, parts[x], parts[after[x]]))
         return [p for p in parts if p >= 0]
 
-    def stretch(self, raw: str) -> tuple[bytes, str]:
-        """Ids, as little-endian 32-bit integers, and pieces of a stretch without white space; each ends with a blank."""
-        low = unicodedata.normalize("NFC", raw).translate(_LOWER).lower() if not raw.isascii() else raw.lower()
-        ids: list[int] = []
-        for word in self.words.findall(low):
-            have = self.known.get(word)
-            if have is None:
-                have = tuple(self.merge(word.encode("utf-8", "surrogatepass")))
-                if len(word) <= CACHE_CHARS:
-                    if len(self.known) >= CACHE_WORDS:
-                        self.known.clear()
-                    self.known[word] = have
-            ids += have
-        return struct.pack(f"<{len(ids)}I", *ids), "".join(self.pieces[i] + " " for i in ids)
+    def split(self, raw: str) -> list[str]:
+        """The words of a stretch without white space."""
+        if raw.isascii():
+            low = raw.lower()
+        else:
+            low = unicodedata.normalize("NFC", raw).translate(_LOWER).lower()
+            if max(low) > "\u024f":
+                return self.words.findall(low)
+        if low.isalpha():  # in these scripts the same as the pattern's letters
+            return [low]
+        if low[-1] in _SIMPLE and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return self.words.findall(low)
 
     def plain(self, text: str) -> tuple[bytes, str]:
-        stretches = text.split() if not self.odd.search(text) else self.space.split(text)
+        stretches = text.split() if not self.odd.search(text) else [s for s in self.space.split(text) if s]
         return b"".join(map(self.ids.__getitem__, stretches)), "".join(map(self.text.__getitem__, stretches))
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
