@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, quality, sharding, toxicity
+from tidemark.llm import bpe, decontam, langid, quality, secrets, sharding, toxicity
 from tidemark.llm.common import table
 from tidemark.llm.samples import fold
 
@@ -47,6 +47,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(toxicity.FOLDS, 0), "score", "predicted")
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.scan(docs, secrets.train(docs), keep=["doc_id"]))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary or tokenizer_path("word_bpe_49k.json"), keep=["doc_id"], real=False)
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
+    "op9_secret_scans": op9_secret_scans,
     "op10_bpe": op10_bpe,
 }
 
