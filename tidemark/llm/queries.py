@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, quality, secrets, sharding, toxicity
+from tidemark.llm import bpe, decontam, dedup, langid, quality, secrets, sharding, toxicity
 from tidemark.llm.common import table
 from tidemark.llm.samples import fold
 
@@ -18,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -57,6 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
