@@ -57,6 +57,7 @@ FIELDS = [
     T.StructField("ids_sha256", T.StringType()),
     T.StructField("decoded_sha256", T.StringType()),
 ]
+PACKED = T.StructField("ids_le", T.BinaryType())
 REAL_FIELDS = [*FIELDS, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())]
 
 
@@ -206,7 +207,7 @@ class Codec:
         return " ".join(self.pieces[i] for i in ids)
 
 
-def make_kernel(real: bool):
+def make_kernel(real: bool, packed: bool):
     def make(blob: bytes):
         store = process_cache()
         key = ("bpe", hashlib.sha256(blob).digest())
@@ -221,6 +222,8 @@ def make_kernel(real: bool):
                 [hashlib.sha256(i).hexdigest() for i, _ in rows],
                 [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for _, d in rows],
             ]
+            if packed:
+                out.append([i for i, _ in rows])
             if real:
                 out += [[list(struct.unpack(f"<{len(i) // 4}I", i)) for i, _ in rows], [d for _, d in rows]]
             return out
@@ -230,11 +233,12 @@ def make_kernel(real: bool):
     return make
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: list[str] | None = None, real: bool = True) -> DataFrame:
-    """Appends n_tokens and the digests and, with `real`, the ids and the decoded text; one pass without a shuffle.
+def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: list[str] | None = None, real: bool = True, packed: bool = False) -> DataFrame:
+    """Appends n_tokens and the digests and, with `packed`, the ids as bytes or, with `real`, as numbers and the decoded text; one pass without a shuffle.
 
     `vocabulary` is the path of the file, read on the driver and broadcast (under 2 MB for the public one).
     """
     with open(vocabulary, "rb") as f:
         blob = f.read()
-    return annotate(docs, [text_col], make_kernel(real), REAL_FIELDS if real else FIELDS, payload=blob, keep=keep)
+    fields = [*FIELDS, *[PACKED] * packed, *REAL_FIELDS[len(FIELDS) :] * real]
+    return annotate(docs, [text_col], make_kernel(real, packed), fields, payload=blob, keep=keep)

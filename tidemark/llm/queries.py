@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, dedup, langid, quality, secrets, sharding, toxicity
+from tidemark.llm import bpe, decontam, dedup, langid, quality, secrets, sharding, tokencount, toxicity, warc
 from tidemark.llm.common import table
 from tidemark.llm.samples import fold
 
@@ -41,6 +41,35 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the archive of all pages against a replica with known damage: some bodies turned by a character, some records lost."""
+    page, body = F.col("page_id"), F.coalesce("html", F.lit(""))
+    turned = F.when(page % 97 == 3, F.expr("concat(substring(coalesce(html, ''), 2), left(coalesce(html, ''), 1))")).otherwise(body)
+    records = table(spark, sf_dir, "pages").select(page.alias("id"), warc.record(page, F.col("url"), body).alias("own"), warc.record(page, F.col("url"), turned).alias("copy"))
+    index = warc.index(
+        records.select(
+            "id",
+            F.octet_length("own").cast("long").alias("size"),
+            F.sha2("own", 256).alias("digest"),
+            F.when(F.coalesce(F.col("id") % 101 != 7, F.lit(True)), F.sha2("copy", 256)).alias("copy_digest"),
+        )
+    )
+    found = warc.audit(index.select("offset", "digest"), index.where("copy_digest is not null").select("offset", F.col("copy_digest").alias("digest")))
+    return index.join(found, "offset").select(F.col("id").alias("page_id"), "offset", F.col("size").alias("length"), "problem")
+
+
+OP5_SQL = """
+with r as (
+  select page_id, coalesce(html, '') as body,
+    cast(strlen(concat('WARC/1.1', 'WARC-Type: resource', 'WARC-Record-ID: <urn:md5:', md5(cast(page_id as varchar)), '>', 'WARC-Target-URI: ', coalesce(url, ''),
+      'Content-Type: text/html', 'Content-Length: ', cast(strlen(coalesce(html, '')) as varchar), coalesce(html, ''))) + 18 as bigint) as length
+  from pages),
+o as (select *, cast(sum(length) over (order by page_id rows unbounded preceding) - length as bigint) as "offset" from r)
+select page_id, "offset", length, case when page_id % 101 = 7 then 'missing' else 'changed' end as problem
+from o where page_id % 101 = 7 or page_id % 97 = 3 and concat(substring(body, 2), left(body, 1)) <> body
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"], real=False)
 
@@ -51,6 +80,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(toxicity.FOLDS, 0), "score", "predicted")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    pieces = tokencount.public_vocabulary(vocabulary or tokenizer_path("piece_bpe_32k.model"))
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), pieces, keep=["doc_id"])
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.digest(secrets.scan(docs, secrets.train(docs), keep=["doc_id"]))
@@ -65,10 +99,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
+    "op5_warc_fixity": op5_warc_fixity,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
+    "op8_token_counts": op8_token_counts,
     "op9_secret_scans": op9_secret_scans,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_warc_fixity": OP5_SQL}
