@@ -192,12 +192,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = materialize(annotate(own, ["text"], make_sketch(width, bands, rows), FIELDS, keep=["id"]), "sketches")
     named = base.where("id is not null and set_key is not null")
     classes = materialize(named.groupBy("set_key").agg(F.min("id").alias("class")), "classes")
-    standing = named.select("id", "buckets", "signature").join(classes.select(F.col("class").alias("id")).distinct(), "id")
-    standing = materialize(standing, "standing")
+    copies = bounded(materialize(named.select("id", "set_key").join(classes, "set_key").where("id <> class").select("id", "set_key").distinct(), "copies"))
+    standing = named.join(copies, ["id", "set_key"], "left_anti")  # one id of each class, its sketch unmoved if copies are few
 
     members = standing.select("id", F.explode("buckets").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    members = materialize(members.join(crowded.select("bucket", "first"), "bucket").distinct(), "members")
+    crowded = members.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    members = materialize(members.join(crowded.select("bucket", "first"), "bucket"), "members")
     nodes = bounded(materialize(members.select("id").distinct(), "nodes"))
     signatures = materialize(standing.join(nodes, "id", "left_semi").select("id", "signature"), "signatures")
     texts = materialize(own.join(nodes, "id", "left_semi").distinct(), "texts")
