@@ -6,10 +6,8 @@ module calls :func:`ship`, so its functions travel by value.
 
 from __future__ import annotations
 
-import atexit
 import sys
 import types
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -19,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.shared import bounded, materialize  # noqa: F401
+
 #: Text bytes that one kernel call sees at most, unless a single text is longer.
 SLICE_BYTES = 2 << 20
-#: Rows of ids up to which a side is broadcast after it was counted; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
 
 
 def ship(module: str) -> None:
@@ -36,42 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, else one under /tmp for local runs."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "/tmp/tidemark-shared"
-    return at.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
-    except Exception:  # the session has ended: the folder's owner clears it
-        pass
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it again.
-
-    The lineage ends there, so a lost executor costs no recomputation; column
-    pruning still reaches the copy. It is removed when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex[:12]}-{name}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the (materialized) side has at most `limit` rows; else the side as it is, to be shuffled."""
-    return F.broadcast(ids) if ids.count() <= limit else ids
-
-
 def process_cache() -> dict:
     """A dictionary that lives as long as the Python worker, across tasks."""
     name = "_tidemark_process_cache"
