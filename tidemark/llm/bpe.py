@@ -18,16 +18,17 @@ import hashlib
 import json
 import struct
 import unicodedata
+from array import array
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.common import annotate, process_cache, ship
+from tidemark.llm.common import annotate, kept_model, ship
 
 ship(__name__)
 
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 #: Longer white-space-free stretches are encoded without being kept.
 CACHE_CHARS = 64
 #: Parts up to which ranks are scanned; beyond it a heap finds the same minima, to keep long words from quadratic time.
@@ -121,9 +122,9 @@ class Codec:
         self.words = regex.compile(pattern, regex.V1)
         self.space = regex.compile(_SPACE)
         self.odd = regex.compile("[\x1c-\x1f]")
+        self.table = [self.pieces.get(i, "") for i in range(max(self.pieces) + 1)]
         self.word_ids = _Cache(lambda w: struct.pack(f"<{len(i := self.merge(w.encode('utf-8', 'surrogatepass')))}I", *i), CACHE_WORDS)
         self.ids = _Cache(lambda s: b"".join(map(self.word_ids.__getitem__, self.split(s))), CACHE_WORDS)
-        self.text = _Cache(lambda s: "".join([self.pieces[i] + " " for (i,) in struct.iter_unpack("<I", self.ids[s])]), CACHE_WORDS)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word, by the rank array."""
@@ -183,49 +184,45 @@ class Codec:
             return [low[:-1], low[-1]]
         return self.words.findall(low)
 
-    def plain(self, text: str) -> tuple[bytes, str]:
+    def plain(self, text: str) -> bytes:
         stretches = text.split() if not self.odd.search(text) else [s for s in self.space.split(text) if s]
-        return b"".join(map(self.ids.__getitem__, stretches)), "".join(map(self.text.__getitem__, stretches))
+        return b"".join(map(self.ids.__getitem__, stretches))
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """Ids as bytes, and the decoded text."""
+    def encode(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if not text:
-            return b"", ""
+            return b""
         if "<|" not in text or not self.specials:
-            ids, dec = self.plain(text)
-            return ids, dec[:-1]
-        ids, dec, at = [], [], 0
+            return self.plain(text)
+        ids, at = [], 0
         for m in self.specials.finditer(text):
-            for part in (self.plain(text[at : m.start()]), (struct.pack("<I", self.special[m[0]]), m[0] + " ")):
-                ids.append(part[0])
-                dec.append(part[1])
+            ids += [self.plain(text[at : m.start()]), struct.pack("<I", self.special[m[0]])]
             at = m.end()
-        rest = self.plain(text[at:])
-        return b"".join([*ids, rest[0]]), "".join([*dec, rest[1]])[:-1]
+        return b"".join([*ids, self.plain(text[at:])])
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(self.pieces[i] for i in ids)
+    def decode(self, ids: bytes) -> str:
+        """The pieces of ids in bytes, joined by blanks."""
+        return " ".join(map(self.table.__getitem__, array("I", ids)))
 
 
 def make_kernel(real: bool, packed: bool):
     def make(blob: bytes):
-        store = process_cache()
-        key = ("bpe", hashlib.sha256(blob).digest())
-        codec = store.get(key)
-        if codec is None:
-            codec = store[key] = Codec(blob)
+        codec = kept_model((__name__, hashlib.sha256(blob).digest()), lambda: Codec(blob))
 
         def kernel(texts: list[str | None]) -> list[list]:
             rows = [codec.encode(t) for t in texts]
+            decoded = map(codec.decode, rows)
+            if real:
+                decoded = list(decoded)
             out = [
-                [len(i) // 4 for i, _ in rows],
-                [hashlib.sha256(i).hexdigest() for i, _ in rows],
-                [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for _, d in rows],
+                [len(i) // 4 for i in rows],
+                [hashlib.sha256(i).hexdigest() for i in rows],
+                [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded],
             ]
             if packed:
-                out.append([i for i, _ in rows])
+                out.append(rows)
             if real:
-                out += [[list(struct.unpack(f"<{len(i) // 4}I", i)) for i, _ in rows], [d for _, d in rows]]
+                out += [[list(array("I", i)) for i in rows], decoded]
             return out
 
         return kernel

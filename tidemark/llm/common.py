@@ -21,6 +21,8 @@ from tidemark.sources.shared import bounded, materialize  # noqa: F401
 
 #: Text bytes that one kernel call sees at most, unless a single text is longer.
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+ARROW_BYTES = 8 << 20
 
 
 def ship(module: str) -> None:
@@ -44,6 +46,26 @@ def process_cache() -> dict:
     return sys.modules[name].store
 
 
+def kept_model(key: tuple, make: Callable[[], Any]) -> Any:
+    """A model that the worker keeps for later tasks; one at a time, so that stages don't add up their memory."""
+    store = process_cache()
+    if store.get("key") != key:
+        store["model"] = None
+        store["model"], store["key"] = make(), key
+    return store["model"]
+
+
+def free_model(owner: str) -> None:
+    """Lets go of a kept model of another operator, and of memory that is no longer used."""
+    store = process_cache()
+    if "key" in store and store["key"][0] != owner:
+        store["model"] = store["key"] = None
+        del store["key"]
+        import ctypes
+
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the texts of one piece hold at most `limit` bytes, or are one row."""
     n = batch.num_rows
@@ -58,6 +80,13 @@ def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.Record
         yield batch.slice(begin, n - begin)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, unless the session has its own bound below the default."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def annotate(
     df: DataFrame,
     texts: list[str],
@@ -81,16 +110,19 @@ def annotate(
     stay = [c for c in (df.columns if keep is None else keep) if c not in names]
     ask = list(dict.fromkeys([*stay, *texts]))
     df = df.select(*(F.col(f"`{c}`") for c in ask))
+    small_batches(df.sparkSession)
     schema = T.StructType([*(df.schema[c] for c in stay), *fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     types_ = [f.type for f in to_arrow_schema(T.StructType(fields))]
+    owner = make.__module__
     sent = df.sparkSession.sparkContext.broadcast(payload) if payload is not None else None
     at, own, limit, out = [ask.index(c) for c in texts], [ask.index(c) for c in stay], SLICE_BYTES, [*stay, *(f.name for f in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
+        free_model(owner)
         kernel = make(sent.value if sent is not None else None)
         for batch in batches:
             for piece in slices(batch, at[0], limit):
@@ -98,5 +130,6 @@ def annotate(
                 cols = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(got, types_)]
                 made = pa.RecordBatch.from_arrays([*(piece.column(i) for i in own), *cols], names=out)
                 yield made if where is None else made.filter(cols[where])
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

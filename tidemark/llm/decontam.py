@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import annotate, process_cache, ship
+from tidemark.llm.common import annotate, kept_model, ship
 
 ship(__name__)
 
@@ -178,11 +178,7 @@ def cut(text: str, spans: list[int], min_words: int) -> str:
 
 def make_kernel(real: bool, window: int, cut_words: int, coverage: float):
     def make(items: list[tuple[str, str | None]]):
-        store = process_cache()
-        key = ("automaton", window, hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).digest())
-        machine = store.get(key)
-        if machine is None:
-            machine = store[key] = Automaton(items, window)
+        machine = kept_model((__name__, window, hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).digest()), lambda: Automaton(items, window))
 
         def kernel(texts, spans=None, found=None, longest=None) -> list[list]:
             out: list[list] = [[] for _ in (REAL_FIELDS if real else FIELDS)]

@@ -94,6 +94,71 @@ def op10_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary or tokenizer_path("word_bpe_49k.json"), keep=["doc_id"], real=False)
 
 
+_BLANKS = r"[\x20\x09-\x0D]"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = rf"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as words from documents),
+s as (select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) = 1 then [words[1]]
+    else list_transform(range(1, len(words)), lambda i: concat(words[i], ' ', words[i + 1])) end) as shingle from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+classes as (select h, min(doc_id) as doc_id from (select doc_id, md5(string_agg(shingle, chr(10) order by shingle)) as h from s group by doc_id) group by h),
+member as (select x.doc_id, c.doc_id as class from (select doc_id, md5(string_agg(shingle, chr(10) order by shingle)) as h from s group by doc_id) x join classes c using (h)),
+r as (select s.doc_id, s.shingle, n.n from s join classes using (doc_id) join n using (doc_id)),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as both_, any_value(a.n) as na, any_value(b.n) as nb
+  from r a join r b on a.shingle = b.shingle and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by 1, 2),
+links as (select a, b from pairs where 100 * both_ >= 80 * (na + nb - both_)),
+edges as (select a, b from links union select b, a from links),
+reach(id, node) as (select a, a from edges union select r.id, e.b from reach r join edges e on e.a = r.node),
+root as (select id, min(node) as root from reach group by id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(root.root, member.class, d.doc_id) as component_id, coalesce(root.root, member.class, d.doc_id) = d.doc_id as kept
+from documents d left join n using (doc_id) left join member using (doc_id) left join root on root.id = member.class
+"""
+
+_OP2_CHARS = ", ".join(f"coalesce(max(c.chars) filter (c.n = {n}), 0) as dup_chars_{n}" for n in quality.NGRAM_LIMITS)
+_OP2_FINE = " and ".join(f"dup_chars_{n} <= {limit} * word_chars" for n, limit in quality.NGRAM_LIMITS.items())
+OP2_SQL = rf"""
+with w as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+b as (select doc_id, words, len(words) as n_words, length(regexp_replace(text, '{_BLANKS}', '', 'g')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from w),
+l as (select doc_id, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+  coalesce(list_sum(list_transform(lines, lambda x: length(regexp_replace(x, '{_BLANKS}', '', 'g')))), 0) - coalesce(list_sum(list_transform(list_distinct(lines), lambda x: length(regexp_replace(x, '{_BLANKS}', '', 'g')))), 0) as dup_line_chars from b),
+g as (select doc_id, n, i, hash(array_to_string(words[i:i + n - 1], ' ')) as gram from (select doc_id, words, n, unnest(range(1, len(words) - n + 2)) as i from b, (select unnest({list(quality.NGRAM_LIMITS)}) as n))),
+d as (select doc_id, n, i from g qualify count(*) over (partition by doc_id, n, gram) > 1),
+p as (select distinct doc_id, n, unnest(range(i, i + n)) as pos from d),
+c as (select p.doc_id, p.n, count(*) as words, sum(length(b.words[p.pos])) as chars from p join b using (doc_id) group by 1, 2),
+m as (select b.doc_id, b.n_words, b.word_chars, b.n_symbols, l.n_dup_lines, coalesce(max(c.words) filter (c.n = 5), 0) as n_repeat_words, cast(l.dup_line_chars as bigint) as dup_line_chars, {_OP2_CHARS}
+  from b join l using (doc_id) left join c on c.doc_id = b.doc_id group by all),
+f as (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed, dup_line_chars, {", ".join(f"cast(dup_chars_{n} as bigint) as dup_chars_{n}" for n in quality.NGRAM_LIMITS)},
+  not base_failed and dup_line_chars <= {quality.LINE_LIMIT} * word_chars and {_OP2_FINE} as kept from f
+"""
+
+OP4_SQL = f"""
+with t as (select [list_reduce(list_prepend(cast(i as bigint), range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) for i in range(256)] as crc),
+s as (select doc_id, cast(strlen(coalesce(text, '')) + {sharding.ROW_OVERHEAD} as bigint) as size, hex(coalesce(text, '')) as bytes from documents),
+x as (select doc_id, size, case when bytes = '' then 0 else
+    xor(list_reduce(list_prepend(cast(4294967295 as bigint), [cast(concat('0x', bytes[2 * i + 1:2 * i + 2]) as bigint) for i in range(len(bytes) // 2)]), lambda c, b: xor(c >> 8, t.crc[xor(c & 255, b) + 1])), 4294967295) end as text_crc32 from s, t),
+p as (select *, sum(size) over (order by doc_id, text_crc32, size rows unbounded preceding) - size as before, sum(size) over () as total from x),
+c as (select *, cast(least({sharding.N_SHARDS - 1}, ((2 * before + size) * {sharding.N_SHARDS}) // (2 * total)) as integer) as shard from p)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by doc_id, text_crc32, size) - 1 as slot, cast(null as integer) as grown_shard from c
+"""
+
+OP6_SQL = rf"""
+with dw as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+iw as (select cast(item_id as varchar) as item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark where item_id is not null),
+win as (select distinct item, size, array_to_string(words[i:i + size - 1], ' ') as gram from
+  (select item, words, least({decontam.WINDOW}, len(words)) as size, unnest(range(1, len(words) - least({decontam.WINDOW}, len(words)) + 2)) as i from iw where len(words) > 0)),
+grams as (select doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') as gram from
+  (select doc_id, words, size, unnest(range(1, len(words) - size + 2)) as i from dw, (select distinct size from win))),
+hits as (select doc_id, g.size, i, item from grams g join win using (size, gram)),
+places as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(i, i + size)) as pos from hits) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item from hits) group by doc_id)
+select d.doc_id, len(d.words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_items, 0) >= {decontam.MIN_ITEMS} as contaminated
+from dw d left join places using (doc_id) left join items using (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -107,4 +172,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_warc_fixity": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": OP1_SQL,
+    "op2_quality_rules": OP2_SQL,
+    "op4_sharding": OP4_SQL,
+    "op5_warc_fixity": OP5_SQL,
+    "op6_decontamination": OP6_SQL,
+}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidemark.llm.bpe import _Cache
-from tidemark.llm.common import annotate, process_cache, ship
+from tidemark.llm.common import annotate, kept_model, ship
 
 ship(__name__)
 
@@ -100,11 +100,7 @@ class Counter:
 
 
 def make_kernel(vocabulary: list[tuple[str, float]]):
-    store = process_cache()
-    key = ("unigram", hashlib.sha256(repr(vocabulary).encode()).digest())
-    counter = store.get(key)
-    if counter is None:
-        counter = store[key] = Counter(vocabulary)
+    counter = kept_model((__name__, hashlib.sha256(repr(vocabulary).encode()).digest()), lambda: Counter(vocabulary))
 
     def kernel(texts: list[str | None]) -> list[list]:
         return [list(c) for c in zip(*map(counter.count, texts))] or [[], [], []]
