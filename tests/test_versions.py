@@ -49,8 +49,14 @@ def test_reads_equal_the_model(spark, seed):
     requests = [(i, f"k{i % 14}", i % 61) for i in range(60)]
     asked = spark.createDataFrame(requests, "req_id long, key string, snapshot_ts long")
     want = {i: model.at(s).get(k) for i, k, s in requests}
-    for n in (None, 1 << 40):
-        assert {r.req_id: r.value for r in versions.as_of(log, asked, n).collect()} == want
+    for n, width in ((None, 1), (1 << 40, 7), (1 << 40, 1 << 20)):
+        assert {r.req_id: r.value for r in versions.as_of(log, asked, n, width).collect()} == want
+    last = [r for r in model.rows if not any(o[:2] == r[:2] and o[2] > r[2] for o in model.rows)]
+    for width in (5, 1 << 20):
+        got = versions.intervals(log_of(spark, last), width).collect()
+        assert sorted((r.key, r.valid_from, r.value, r.valid_to) for r in got) == sorted(
+            ((k, ts, v, min((o[1] for o in last if o[0] == k and o[1] > ts), default=None)) for k, ts, _, v in last if v), key=lambda r: r[:2]
+        )
 
 
 def test_safe_compaction_changes_no_later_read(spark):

@@ -8,12 +8,14 @@ Equal commit_ts are decided by seq.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.shared import BROADCAST_ROWS
 
 VERSION = ["op", "value", "commit_ts", "seq"]
+#: Timestamps of one slice: the most versions of a key, but for ties, that one task sorts.
+SLICE = 1 << 20
 
 
 def normalized(log: DataFrame) -> DataFrame:
@@ -51,18 +53,32 @@ def history(log: DataFrame) -> DataFrame:
     return log.select("cf", "key", "commit_ts", "seq", "op", "value").orderBy("cf", "key", F.desc("commit_ts"), F.desc("seq"))
 
 
-def intervals(log: DataFrame) -> DataFrame:
-    """Each live version's half-open interval of validity; valid_to is null for the current one."""
-    order = Window.partitionBy("cf", "key").orderBy("commit_ts", "seq")
-    spans = normalized(log).withColumn("valid_to", F.lead("commit_ts").over(order))
-    return spans.where("op = 'PUT'").select("cf", "key", "value", F.col("commit_ts").alias("valid_from"), "valid_to")
+def _slice(ts: str, width: int) -> Column:
+    """The stretch of time that a timestamp falls into; keys with very many versions are worked on stretch by stretch."""
+    return F.floor(F.col(ts) / width).alias("slice")
 
 
-def as_of(log: DataFrame, requests: DataFrame, n_requests: int | None = None) -> DataFrame:
+def intervals(log: DataFrame, width: int = SLICE) -> DataFrame:
+    """Each live version's half-open interval of validity; valid_to is null for the current one.
+
+    A version's successor is looked for in its own slice of time; the last of a
+    slice takes the first of the key's next slice from a table of slices.
+    """
+    own = normalized(log).withColumn("slice", _slice("commit_ts", width))
+    order = Window.partitionBy("cf", "key", "slice").orderBy("commit_ts", "seq")
+    spans = own.withColumn("near", F.lead("commit_ts").over(order))
+    heads = own.groupBy("cf", "key", "slice").agg(F.min("commit_ts").alias("head"))
+    heads = heads.withColumn("far", F.lead("head").over(Window.partitionBy("cf", "key").orderBy("slice"))).where("far is not null")
+    found = spans.where("op = 'PUT'").join(heads.select("cf", "key", "slice", "far"), ["cf", "key", "slice"], "left")
+    return found.select("cf", "key", "value", F.col("commit_ts").alias("valid_from"), F.coalesce("near", "far").alias("valid_to"))
+
+
+def as_of(log: DataFrame, requests: DataFrame, n_requests: int | None = None, width: int = SLICE) -> DataFrame:
     """For each request (req_id, key, snapshot_ts) the newest version not later, op and commit_ts null if there is none.
 
     Few requests (counted) are broadcast to the log, which is aggregated where it
-    lies. Many are merged with the log and take the last version before them.
+    lies. Many are merged with the log, slice of time by slice of time, and take
+    the last version before them in their slice, or at the end of an earlier one.
     """
     n = requests.count() if n_requests is None else n_requests
     own = normalized(log).select("key", *VERSION)
@@ -71,8 +87,14 @@ def as_of(log: DataFrame, requests: DataFrame, n_requests: int | None = None) ->
         best = hits.groupBy("req_id").agg(F.max_by(F.struct("op", "value", "commit_ts"), F.struct("commit_ts", "seq")).alias("v"))
         found = requests.join(F.broadcast(best), "req_id", "left")  # a row a request at most, and requests are few
     else:
-        marks = requests.select("key", F.col("snapshot_ts").alias("commit_ts"), "req_id")
-        both = own.withColumn("v", F.struct("op", "value", "commit_ts")).select("key", "commit_ts", "seq", "v").unionByName(marks, allowMissingColumns=True)
-        order = Window.partitionBy("key").orderBy("commit_ts", F.col("req_id").isNotNull(), "seq")
-        found = both.withColumn("v", F.last("v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("req_id is not null").withColumnRenamed("commit_ts", "snapshot_ts")
+        v = F.struct("op", "value", "commit_ts")
+        versions_ = own.select("key", "commit_ts", "seq", v.alias("v"), _slice("commit_ts", width))
+        marks = requests.select("key", "req_id", "snapshot_ts", F.col("snapshot_ts").alias("commit_ts"), _slice("snapshot_ts", width))
+        order = Window.partitionBy("key", "slice").orderBy("commit_ts", F.col("req_id").isNotNull(), "seq").rowsBetween(Window.unboundedPreceding, 0)
+        near = versions_.unionByName(marks, allowMissingColumns=True).withColumn("near", F.last("v", ignorenulls=True).over(order)).where("req_id is not null")
+        ends = versions_.groupBy("key", "slice").agg(F.max_by("v", F.struct("commit_ts", "seq")).alias("end")).unionByName(marks.select("key", "slice").distinct(), allowMissingColumns=True)
+        ends = ends.groupBy("key", "slice").agg(F.max("end").alias("end"))  # one at most isn't null
+        before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        far = ends.withColumn("far", F.last("end", ignorenulls=True).over(before)).where("far is not null").select("key", "slice", "far")
+        found = near.join(far, ["key", "slice"], "left").withColumn("v", F.coalesce("near", "far"))
     return found.select("req_id", "key", "snapshot_ts", F.col("v.op").alias("op"), F.col("v.value").alias("value"), F.col("v.commit_ts").alias("commit_ts"))
