@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tidemark.sources.shared import bounded, materialize  # noqa: F401
 
 #: Text bytes that one kernel call sees at most, unless a single text is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch between the JVM and a Python worker.
 ARROW_BYTES = 8 << 20
 

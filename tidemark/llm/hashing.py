@@ -9,7 +9,7 @@ from tidemark.llm.common import process_cache, ship
 ship(__name__)
 
 #: Bytes hashed in one go; cuts fall on separators, so only a longer word makes a window longer.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
