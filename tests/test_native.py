@@ -20,6 +20,14 @@ def test_wal_round_trip_and_replay(spark, tmp_path):
             list(native.decode_wal(bad))
 
 
+def test_inspect(spark, tmp_path):
+    (tmp_path / "a.wal").write_bytes(b"123")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.wal").write_bytes(b"4567")
+    (tmp_path / "MANIFEST").write_bytes(b"8")
+    assert {tuple(r) for r in native.inspect(spark, str(tmp_path)).collect()} == {("wal", 2, 7), ("other", 1, 1)}
+
+
 def test_vlog(spark, tmp_path):
     values = [bytes(range(100)), b"z" * 200, b""]
     (tmp_path / "v.log").write_bytes(native.encode_vlog(values) + b"\x00\x01")

@@ -124,6 +124,9 @@ def test_access(spark):
     assert all(r.got == r.want for r in df.select(access.bearer(F.col("h")).alias("got"), "want").collect())
     paths = spark.createDataFrame([("/api/v1/kv/scan", "POST", 3), ("/api/v1/kv/x", "POST", 2), ("/api/v1/kv/x", "GET", 3), ("/api/v1/auth/login", "POST", 0), ("/api/v1/admin/users", "GET", 1), ("/other", "GET", 1)], "p string, v string, n int")
     assert all(r.got == r.n for r in paths.select(F.size(access.path_roles(F.col("p"), F.col("v"))).alias("got"), "n").collect())
+    df = spark.createDataFrame([(" Bob ", "admin, readonly,,", "/api/v1/kv/a/b"), ("x", "", "/api/v1/kv/")], "n string, r string, p string")
+    got = [tuple(r) for r in df.select(access.user_key(F.col("n")), access.role_list(F.col("r")), access.path_key(F.col("p"))).collect()]
+    assert got == [("user:bob", ["admin", "readonly"], "a/b"), ("user:x", [], None)]
     row = spark.range(1).select(access.error_code(F.lit(401)).alias("a"), access.error_code(F.lit(403)).alias("b"), access.error_code(F.lit(500)).alias("c"), access.has_all(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"))).alias("d")).first()
     assert tuple(row) == ("UNAUTHORIZED", "FORBIDDEN", "AUTH_ERROR", True)
 

@@ -25,6 +25,25 @@ def users(log: DataFrame, cf: str = "__auth__") -> DataFrame:
     return rows.where("u._bad is null and u.username is not null").select("u.username", "u.roles", "u.created_at")
 
 
+def username(name: Column) -> Column:
+    """Names are kept trimmed and in lower case."""
+    return F.lower(F.trim(name))
+
+
+def user_key(name: Column) -> Column:
+    return F.concat(F.lit("user:"), username(name))
+
+
+def role_list(text: Column) -> Column:
+    """Roles given as text between commas."""
+    return F.filter(F.transform(F.split(text, ","), lambda r: F.trim(r)), lambda r: r != "")
+
+
+def path_key(path: Column) -> Column:
+    """The key that an HTTP path names; null if it names none."""
+    return F.nullif(F.regexp_extract(path, "^/api/v1/kv/(.+)$", 1), F.lit(""))
+
+
 def has_any(roles: Column, required: Column) -> Column:
     return F.coalesce(F.arrays_overlap(roles, required), F.lit(False))
 

@@ -57,3 +57,13 @@ def families(log: DataFrame) -> DataFrame:
 def stats(log: DataFrame) -> DataFrame:
     """Live keys of each family."""
     return versions.latest(log).groupBy("cf").agg(F.count("*").alias("n_keys"))
+
+
+def as_tsv(rows: DataFrame) -> DataFrame:
+    """Scanned rows as lines: key, tab, value."""
+    return rows.select(F.concat_ws("\t", "key", "value").alias("line"))
+
+
+def export(rows: DataFrame, path: str) -> None:
+    """Writes a scan as text files, in order from file to file."""
+    as_tsv(rows).write.text(path)

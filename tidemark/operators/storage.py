@@ -32,6 +32,11 @@ def min_snapshot(log: DataFrame) -> int:
     return (log.agg(F.max("commit_ts")).first()[0] or 0) // 2
 
 
+def oldest_snapshot(open_snapshots: DataFrame) -> DataFrame:
+    """The least start_ts of the open snapshots, 0 if there are none."""
+    return open_snapshots.agg(F.coalesce(F.min("start_ts"), F.lit(0)).alias("oldest"))
+
+
 def compact_documented(log: DataFrame, oldest: int) -> DataFrame:
     """The written rule: the newest version unless deleted; older puts only if not after the oldest snapshot.
 
@@ -78,6 +83,11 @@ def may_hold(files: DataFrame, key: str) -> DataFrame:
     return files.where((F.col("min_key") <= key) & (F.col("max_key") >= key))
 
 
+def frame_checksum(value: Column) -> Column:
+    """The CRC-32 that guards a value in the value log, unsigned."""
+    return F.crc32(value.cast("binary"))
+
+
 def placement(value: Column) -> Column:
     """Where a value is kept: inline, or beyond 64 bytes in the value log."""
     return F.when(F.octet_length(value) > INLINE_BYTES, "pointer").otherwise("inline")

@@ -97,6 +97,12 @@ ORACLE_SQL: dict[str, str] = {
     + " select key, value, commit_ts from live",
     "manifest_levels": _with(_FILES) + " select * from files",
     "inspect_levels": _with(_FILES) + " select coalesce(cast(level as varchar), 'total') as level, count(*) as n_files, cast(sum(size) as bigint) as n_bytes from files group by rollup(files.level)",
+    "oldest_snapshot": _with(_WRITES) + " select coalesce(min(start_ts), 0) as oldest from txn_writes",
+    "value_checksums": _with(_EVENTS)
+    + """, t as (select [list_reduce(list_prepend(cast(i as bigint), range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) for i in range(256)] as crc),
+      b as (select commit_ts, list_prepend(cast(4294967295 as bigint), [cast(ascii(value[i + 1]) as bigint) for i in range(len(value))]) as bytes from kv_events where value is not null)
+      select commit_ts, case when len(bytes) = 1 then 0 else xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t.crc[xor(c & 255, b) + 1])), 4294967295) end as crc32 from b, t""",
+    "user_keys": "select c_custkey, concat('user:', lower(c_name)) as key, concat('user:', lower(c_name)) as path_key from customer",
     "value_separation": _with(_DOCS) + " select key, strlen(value) as n_bytes, case when strlen(value) > 64 then 'pointer' else 'inline' end as placement from kv_docs",
     "vlog_deref": _with(_VLOG) + """, p as (select case when doc_id % 7 = 0 then "offset" + 1 else "offset" end as "offset", size from vlog) select p."offset", p.size, v.doc_id from p left join vlog v on v."offset" = p."offset" and v.size = p.size""",
     "vlog_live": _with(_VLOG) + ' select doc_id, "offset", size from vlog where doc_id in (select doc_id from labels)',

@@ -176,6 +176,23 @@ def inspect_levels(spark, sf):
     return storage.inspect_levels(storage.manifest_files(fx.manifest_edits(spark, sf)))
 
 
+@query
+def oldest_snapshot(spark, sf):
+    return storage.oldest_snapshot(fx.txn_writes(spark, sf))
+
+
+@query
+def value_checksums(spark, sf):
+    return fx.kv_events(spark, sf).where("value is not null").select("commit_ts", storage.frame_checksum(F.col("value")).alias("crc32"))
+
+
+@query
+def user_keys(spark, sf):
+    named = fx.table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("  "), "c_name", F.lit(" ")).alias("name"))
+    path = F.concat(F.lit("/api/v1/kv/"), access.user_key(F.col("name")))
+    return named.select("c_custkey", access.user_key(F.col("name")).alias("key"), access.path_key(path).alias("path_key"))
+
+
 @query
 def value_separation(spark, sf):
     return fx.kv_docs(spark, sf).select("key", F.octet_length("value").cast("long").alias("n_bytes"), storage.placement(F.col("value")).alias("placement"))
@@ -240,7 +257,7 @@ def rest_scan_json(spark, sf):
 
 @query
 def export_tsv(spark, sf):
-    return scan.scan(fx.kv_events(spark, sf), "user:").select(F.concat_ws("\t", "key", "value").alias("line"))
+    return scan.as_tsv(scan.scan(fx.kv_events(spark, sf), "user:"))
 
 
 @query

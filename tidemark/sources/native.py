@@ -164,6 +164,13 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return _decoded(spark, path, decode_table, "path string, key binary, commit_ts long, value binary")
 
 
+def inspect(spark: SparkSession, path: str) -> DataFrame:
+    """Files and bytes of each kind (ending) in a store's folder; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    kind = F.coalesce(F.nullif(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1), F.lit("")), F.lit("other"))
+    return files.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
+
+
 _FILE = "file_num: bigint, level: int, min_key: string, max_key: string, size: bigint"
 
 
