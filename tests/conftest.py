@@ -2,7 +2,10 @@ import os
 import sys
 
 import pytest
+from hypothesis import settings
 
+settings.register_profile("steady", derandomize=True, deadline=None, database=None)
+settings.load_profile("steady")
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
