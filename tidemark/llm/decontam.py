@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import annotate, kept_model, ship
+from tidemark.llm.common import annotate, kept_model, materialize, ship
 
 ship(__name__)
 
@@ -236,8 +236,9 @@ def decontaminate(
     """Appends the counts, the items' digest and the verdict and, with `real`, the items, the cut text and whether the document stays.
 
     `cut_words` is the least length of a hit run that is cut out of clean_text
-    (a run is at least one window, or a whole short item). No shuffle: every
-    block of items is broadcast and the documents stream past it.
+    (a run is at least one window, or a whole short item). No shuffle: a block
+    of items is broadcast and the documents stream past it; before another
+    block's pass the documents and what was found are written.
     """
     named = items.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text"))
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -250,6 +251,7 @@ def decontaminate(
         fields = REAL_FIELDS if real else FIELDS
         if b < blocks - 1:
             docs = annotate(docs, [text_col, *carried], make_pass(window), _HITS, payload=rows, keep=[*keep, text_col] if text_col not in keep else keep)
+            docs = materialize(docs, f"block-{b}")  # one automaton at a time in a worker
             carried = [f.name for f in _HITS]
         else:
             docs = annotate(docs, [text_col, *carried], make_kernel(real, window, cut_words, coverage), fields, payload=rows, keep=keep)

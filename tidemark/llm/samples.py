@@ -24,7 +24,8 @@ def sample_texts(docs: DataFrame, labelled: DataFrame, per_class: int, max_bytes
     rows = (
         texts.where(F.octet_length("text").between(1, max_bytes))
         .join(F.broadcast(chosen.select("id", "label")), "id")
-        .select("label", "id", "text")
+        .groupBy("label", "id")
+        .agg(F.min("text").alias("text"))  # one text an id, however often it is repeated
         .toArrow()
         .sort_by([("label", "ascending"), ("id", "ascending"), ("text", "ascending")])
     )
