@@ -76,25 +76,24 @@ def intervals(log: DataFrame, width: int = SLICE) -> DataFrame:
 def as_of(log: DataFrame, requests: DataFrame, n_requests: int | None = None, width: int = SLICE) -> DataFrame:
     """For each request (req_id, key, snapshot_ts) the newest version not later, op and commit_ts null if there is none.
 
-    Few requests (counted) are broadcast to the log, which is aggregated where it
-    lies. Many are merged with the log, slice of time by slice of time, and take
-    the last version before them in their slice, or at the end of an earlier one.
+    Requests are merged with the log, slice of time by slice of time, and take
+    the last version before them in their slice, or at the end of an earlier
+    one: one row a request and version, never their product. The keys of few
+    requests (counted) are broadcast first, so that other keys aren't moved.
     """
-    n = requests.count() if n_requests is None else n_requests
+    bounds = requests.agg(F.count("*").alias("n"), F.max("snapshot_ts").alias("last")).first()
     own = normalized(log).select("key", *VERSION)
-    if n <= BROADCAST_ROWS:
-        hits = own.join(F.broadcast(requests), "key").where("commit_ts <= snapshot_ts")
-        best = hits.groupBy("req_id").agg(F.max_by(F.struct("op", "value", "commit_ts"), F.struct("commit_ts", "seq")).alias("v"))
-        found = requests.join(F.broadcast(best), "req_id", "left")  # a row a request at most, and requests are few
-    else:
-        v = F.struct("op", "value", "commit_ts")
-        versions_ = own.select("key", "commit_ts", "seq", v.alias("v"), _slice("commit_ts", width))
-        marks = requests.select("key", "req_id", "snapshot_ts", F.col("snapshot_ts").alias("commit_ts"), _slice("snapshot_ts", width))
-        order = Window.partitionBy("key", "slice").orderBy("commit_ts", F.col("req_id").isNotNull(), "seq").rowsBetween(Window.unboundedPreceding, 0)
-        near = versions_.unionByName(marks, allowMissingColumns=True).withColumn("near", F.last("v", ignorenulls=True).over(order)).where("req_id is not null")
-        ends = versions_.groupBy("key", "slice").agg(F.max_by("v", F.struct("commit_ts", "seq")).alias("end")).unionByName(marks.select("key", "slice").distinct(), allowMissingColumns=True)
-        ends = ends.groupBy("key", "slice").agg(F.max("end").alias("end"))  # one at most isn't null
-        before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-        far = ends.withColumn("far", F.last("end", ignorenulls=True).over(before)).where("far is not null").select("key", "slice", "far")
-        found = near.join(far, ["key", "slice"], "left").withColumn("v", F.coalesce("near", "far"))
+    if bounds.last is not None:
+        own = own.where(F.col("commit_ts") <= bounds.last)
+    if (bounds.n if n_requests is None else n_requests) <= BROADCAST_ROWS:
+        own = own.join(F.broadcast(requests.select("key").distinct()), "key", "left_semi")
+    versions_ = own.select("key", "commit_ts", "seq", F.struct("op", "value", "commit_ts").alias("v"), _slice("commit_ts", width))
+    marks = requests.select("key", "req_id", "snapshot_ts", F.col("snapshot_ts").alias("commit_ts"), _slice("snapshot_ts", width))
+    order = Window.partitionBy("key", "slice").orderBy("commit_ts", F.col("req_id").isNotNull(), "seq").rowsBetween(Window.unboundedPreceding, 0)
+    near = versions_.unionByName(marks, allowMissingColumns=True).withColumn("near", F.last("v", ignorenulls=True).over(order)).where("req_id is not null")
+    ends = versions_.groupBy("key", "slice").agg(F.max_by("v", F.struct("commit_ts", "seq")).alias("end")).unionByName(marks.select("key", "slice").distinct(), allowMissingColumns=True)
+    ends = ends.groupBy("key", "slice").agg(F.max("end").alias("end"))  # one at most isn't null
+    before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    far = ends.withColumn("far", F.last("end", ignorenulls=True).over(before)).where("far is not null").select("key", "slice", "far")
+    found = near.join(far, ["key", "slice"], "left").withColumn("v", F.coalesce("near", "far"))
     return found.select("req_id", "key", "snapshot_ts", F.col("v.op").alias("op"), F.col("v.value").alias("value"), F.col("v.commit_ts").alias("commit_ts"))

@@ -45,10 +45,9 @@ def conflicts(log: DataFrame, writes: DataFrame) -> DataFrame:
     Deletes count. The newest version before the commit tells it all, so this is
     an as-of read of the write set, not a join with all later versions.
     """
-    asked = writes.select(F.struct("txn_id", "key").alias("req_id"), "key", (F.col("txn_id") + 1).alias("snapshot_ts"), "start_ts").distinct()
-    seen = versions.as_of(log, asked.select("req_id", "key", "snapshot_ts"))
-    late = seen.join(asked.select("req_id", "start_ts"), "req_id").where("commit_ts > start_ts")
-    return late.select(F.col("req_id.txn_id").alias("txn_id"), "key", "commit_ts")
+    asked = writes.select(F.struct("txn_id", "start_ts").alias("req_id"), "key", (F.col("txn_id") + 1).alias("snapshot_ts")).distinct()
+    seen = versions.as_of(log, asked).where(F.col("commit_ts") > F.col("req_id.start_ts"))
+    return seen.select(F.col("req_id.txn_id").alias("txn_id"), "key", "commit_ts")
 
 
 def clean(log: DataFrame, writes: DataFrame) -> DataFrame:
