@@ -116,14 +116,16 @@ def annotate(
 
     types_ = [f.type for f in to_arrow_schema(T.StructType(fields))]
     owner = make.__module__
-    sent = df.sparkSession.sparkContext.broadcast(payload) if payload is not None else None
+    sent = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(payload)) if payload is not None else None  # classes by value too
     at, own, limit, out = [ask.index(c) for c in texts], [ask.index(c) for c in stay], SLICE_BYTES, [*stay, *(f.name for f in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pickle
+
         import pyarrow.compute  # noqa: F401
 
         free_model(owner)
-        kernel = make(sent.value if sent is not None else None)
+        kernel = make(pickle.loads(sent.value) if sent is not None else None)
         for batch in batches:
             for piece in slices(batch, at[0], limit):
                 got = kernel(*(piece.column(i).to_pylist() for i in at))
