@@ -34,13 +34,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it again.
 
     The lineage ends there, so a lost executor costs no recomputation; column
-    pruning still reaches the copy. It is removed when the driver's Python ends.
+    pruning still reaches the copy. It is removed by release(), or when the
+    driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex[:12]}-{name}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    copy._tidemark_path = path
+    return copy
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes written tables that no later step reads."""
+    for df in tables:
+        _remove(df.sparkSession, df._tidemark_path)
 
 
 def bounded(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
