@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.shared import bounded, materialize  # noqa: F401
+from tidemark.sources.shared import bounded, materialize, release  # noqa: F401
 
 #: Text bytes that one kernel call sees at most, unless a single text is longer.
 SLICE_BYTES = 1 << 20

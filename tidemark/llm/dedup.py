@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import annotate, bounded, materialize, ship
+from tidemark.llm.common import annotate, bounded, materialize, release, ship
 from tidemark.llm.hashing import BLANKS, hash_words, join_texts, mix, separators
 
 ship(__name__)
@@ -183,7 +183,9 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         down = large.where("u > v").distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        following = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        release(edges)
+        edges = following
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -192,15 +194,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = materialize(annotate(own, ["text"], make_sketch(width, bands, rows), FIELDS, keep=["id"]), "sketches")
     named = base.where("id is not null and set_key is not null")
     classes = materialize(named.groupBy("set_key").agg(F.min("id").alias("class")), "classes")
-    copies = bounded(materialize(named.select("id", "set_key").join(classes, "set_key").where("id <> class").select("id", "set_key").distinct(), "copies"))
-    standing = named.join(copies, ["id", "set_key"], "left_anti")  # one id of each class, its sketch unmoved if copies are few
+    copies = materialize(named.select("id", "set_key").join(classes, "set_key").where("id <> class").select("id", "set_key").distinct(), "copies")
+    standing = named.join(bounded(copies), ["id", "set_key"], "left_anti")  # one id of each class, its sketch unmoved if copies are few
 
     members = standing.select("id", F.explode("buckets").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     members = materialize(members.join(crowded.select("bucket", "first"), "bucket"), "members")
-    nodes = bounded(materialize(members.select("id").distinct(), "nodes"))
-    signatures = materialize(standing.join(nodes, "id", "left_semi").select("id", "signature"), "signatures")
-    texts = materialize(own.join(nodes, "id", "left_semi").distinct(), "texts")
+    nodes = materialize(members.select("id").distinct(), "nodes")
+    few = bounded(nodes)
+    signatures = materialize(standing.join(few, "id", "left_semi").select("id", "signature"), "signatures")
+    texts = materialize(own.join(few, "id", "left_semi").distinct(), "texts")
     share = percent / 100
     expected = share + (1 - share) / 256
     least = expected - 5 * (expected * (1 - expected) / (bands * rows)) ** 0.5
@@ -210,7 +213,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         likely = materialize(agree(signed, least), f"likely-{name}")
         full = likely.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         found = annotate(full, ["ta", "tb"], make_confirm(width, percent), [T.StructField("linked", T.BooleanType())], keep=["a", "b"], where=0)
-        return materialize(found.select("a", "b").distinct(), f"links-{name}")
+        links = materialize(found.select("a", "b").distinct(), f"links-{name}")
+        release(likely)
+        return links
 
     stars = materialize(members.where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = confirmed(stars, "star")
@@ -224,6 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = confirmed(pairs, "crossing")
     if not more.isEmpty():
         roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more), "all")
+    release(copies, members, nodes, signatures, texts, stars, links, placed, more)
     return (
         base.select("id", "n_shingles", "set_key")
         .join(classes, "set_key", "left")
