@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import hashing
 from tidemark.operators import access, scan, storage, versions, writes
 from tidemark.sources import fixtures as fx
-from tidemark.sources.shared import shared_dir
+from tidemark.sources.shared import scratch
 from tidemark.streaming import feed
 
 SNAPSHOT = 700
@@ -288,7 +287,7 @@ def _stream(spark, sf):
 @query
 def change_feed_stream(spark, sf):
     """The change feed by Structured Streaming, of what is there."""
-    at = f"{shared_dir(spark)}/tidemark-feed-{uuid.uuid4().hex[:12]}"
+    at = scratch(spark, "feed")
     feed.run_once(feed.changes(_stream(spark, sf)), f"{at}/out", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/out")
 
@@ -296,6 +295,6 @@ def change_feed_stream(spark, sf):
 @query
 def latest_view_stream(spark, sf):
     """The newest version of each key, kept by a stream."""
-    at = f"{shared_dir(spark)}/tidemark-view-{uuid.uuid4().hex[:12]}"
+    at = scratch(spark, "view")
     feed.run_once(feed.latest_view(_stream(spark, sf)), f"{at}/out", f"{at}/checkpoint", "complete")
     return spark.read.parquet(f"{at}/out").drop("cf")

@@ -30,6 +30,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex[:12]}-{name}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it again.
 
@@ -38,9 +45,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex[:12]}-{name}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     copy = spark.read.schema(df.schema).parquet(path)
     copy._tidemark_path = path
     return copy
