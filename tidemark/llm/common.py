@@ -63,7 +63,8 @@ def free_model(owner: str) -> None:
         del store["key"]
         import ctypes
 
-        ctypes.CDLL(None).malloc_trim(0)
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
