@@ -137,8 +137,8 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, cast(n_repeat_words
 OP4_SQL = f"""
 with t as (select [list_reduce(list_prepend(cast(i as bigint), range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) for i in range(256)] as crc),
 s as (select doc_id, cast(strlen(coalesce(text, '')) + {sharding.ROW_OVERHEAD} as bigint) as size, hex(coalesce(text, '')) as bytes from documents),
-x as (select doc_id, size, case when bytes = '' then 0 else
-    xor(list_reduce(list_prepend(cast(4294967295 as bigint), [cast(concat('0x', bytes[2 * i + 1:2 * i + 2]) as bigint) for i in range(len(bytes) // 2)]), lambda c, b: xor(c >> 8, t.crc[xor(c & 255, b) + 1])), 4294967295) end as text_crc32 from s, t),
+x as (select doc_id, size, xor(list_reduce(list_prepend(cast(4294967295 as bigint), [cast(concat('0x', b) as bigint) for b in regexp_extract_all(bytes, '..')]),
+    lambda c, b: xor(c >> 8, t.crc[xor(c & 255, b) + 1])), 4294967295) as text_crc32 from s, t),
 p as (select *, sum(size) over (order by doc_id, text_crc32, size rows unbounded preceding) - size as before, sum(size) over () as total from x),
 c as (select *, cast(least({sharding.N_SHARDS - 1}, ((2 * before + size) * {sharding.N_SHARDS}) // (2 * total)) as integer) as shard from p)
 select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by doc_id, text_crc32, size) - 1 as slot, cast(null as integer) as grown_shard from c
