@@ -91,9 +91,12 @@ def as_of(log: DataFrame, requests: DataFrame, n_requests: int | None = None, wi
     marks = requests.select("key", "req_id", "snapshot_ts", F.col("snapshot_ts").alias("commit_ts"), _slice("snapshot_ts", width))
     order = Window.partitionBy("key", "slice").orderBy("commit_ts", F.col("req_id").isNotNull(), "seq").rowsBetween(Window.unboundedPreceding, 0)
     near = versions_.unionByName(marks, allowMissingColumns=True).withColumn("near", F.last("v", ignorenulls=True).over(order)).where("req_id is not null")
-    ends = versions_.groupBy("key", "slice").agg(F.max_by("v", F.struct("commit_ts", "seq")).alias("end")).unionByName(marks.select("key", "slice").distinct(), allowMissingColumns=True)
-    ends = ends.groupBy("key", "slice").agg(F.max("end").alias("end"))  # one at most isn't null
-    before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    far = ends.withColumn("far", F.last("end", ignorenulls=True).over(before)).where("far is not null").select("key", "slice", "far")
-    found = near.join(far, ["key", "slice"], "left").withColumn("v", F.coalesce("near", "far"))
+    if bounds.last is not None and bounds.last < width:  # timestamps are positive: there is no earlier slice
+        found = near.withColumn("v", F.col("near"))
+    else:
+        ends = versions_.groupBy("key", "slice").agg(F.max_by("v", F.struct("commit_ts", "seq")).alias("end")).unionByName(marks.select("key", "slice").distinct(), allowMissingColumns=True)
+        ends = ends.groupBy("key", "slice").agg(F.max("end").alias("end"))  # one at most isn't null
+        before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        far = ends.withColumn("far", F.last("end", ignorenulls=True).over(before)).where("far is not null").select("key", "slice", "far")
+        found = near.join(far, ["key", "slice"], "left").withColumn("v", F.coalesce("near", "far"))
     return found.select("req_id", "key", "snapshot_ts", F.col("v.op").alias("op"), F.col("v.value").alias("value"), F.col("v.commit_ts").alias("commit_ts"))
