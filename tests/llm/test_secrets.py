@@ -51,6 +51,14 @@ def test_rules_equal_brute_force_and_models_add(spark, ratios):
     assert secrets.digest(secrets.scan(df.limit(0), ratios)).count() == 0
 
 
+def test_random_strings_without_a_digit(spark, ratios):
+    loose = ["ZxUkQwmPbvLrGnTnWjyBcHqd", "qzjxkvwpgbhqyfmc", "QXZJVKWPHGYBMFUD"]
+    texts = [f"the key {v} is loose" for v in loose] + ["internationalization", "an-ordinary-hyphenated-identifier", "acknowledgements_section_of_it", "12345678901234567890"]
+    scanned = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratios)
+    assert [r.spans for r in secrets.digest(scanned).orderBy("doc_id").collect()] == [f"markov:8:{8 + len(v)}" for v in loose] + [""] * 4
+    assert [r.text for r in secrets.redact(scanned).orderBy("doc_id").collect()] == ["the key [SECRET] is loose"] * 3 + texts[3:]
+
+
 def test_plan_has_no_python(spark, ratios):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     plan = secrets.digest(secrets.scan(docs, ratios, keep=["doc_id"]))._jdf.queryExecution().executedPlan().toString()

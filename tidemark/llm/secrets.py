@@ -2,9 +2,9 @@
 
 The rules find assignments to secret names, access keys and long hex runs. The
 models tell random strings from ordinary identifiers: each gives the chance of
-a character after another; a run of at least 16 characters with a letter and a
-digit whose log-likelihood ratio passes a threshold is added as kind `markov`,
-unless it overlaps a rule's span. Both models are counted from labelled samples:
+a character after another; a run of at least 16 characters with a letter whose
+log-likelihood ratio passes a threshold is added as kind `markov`, unless it
+overlaps a rule's span. Plain numbers aren't judged. Both models are counted from labelled samples:
 random are the values that the rules find and encodings of hashes, ordinary are
 the words of a sample of documents outside the rules' spans.
 
@@ -126,7 +126,7 @@ def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", keep: lis
     n, letters = len(LETTERS), _sql(LETTERS)
     ratio = f"""aggregate(sequence(1, length(x.v) - 1), 0D, (s, i) -> s + element_at(cast(split({table}, ',') as array<double>),
         (instr({letters}, substring(x.v, i, 1)) - 1) * {n} + instr({letters}, substring(x.v, i + 1, 1))))"""
-    judged = f"x.v rlike '[0-9]' and x.v rlike '[A-Za-z]' and {ratio} > {MIN_RATIO}D"
+    judged = f"x.v rlike '[A-Za-z]' and {ratio} > {MIN_RATIO}D"
     spans = rule_spans(own).withColumn("_markov", _spans(4, CANDIDATE, judged))
     added = "filter(_markov, m -> not exists(base, b -> m.begin < b.end and b.begin < m.end))"
     return spans.withColumn("found", F.expr(f"array_sort(concat(base, {added}))")).select("row.*", "base", "found")
