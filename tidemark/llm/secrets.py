@@ -3,8 +3,9 @@
 The rules find assignments to secret names, access keys and long hex runs. The
 models tell random strings from ordinary identifiers: each gives the chance of
 a character after another; a run of at least 16 characters with a letter whose
-log-likelihood ratio passes a threshold is added as kind `markov`, unless it
-overlaps a rule's span. Plain numbers aren't judged. Both models are counted from labelled samples:
+log-likelihood ratio passes a threshold is added as kind `markov`. What the
+rules' spans leave of a run is judged piece by piece, each of 16 characters or
+more. Plain numbers aren't judged. Both models are counted from labelled samples:
 random are the values that the rules find and encodings of hashes, ordinary are
 the words of a sample of documents outside the rules' spans.
 
@@ -38,20 +39,23 @@ SAMPLE_DOCS = 2000
 SAMPLE_RANDOM = 4000
 
 
+_NO_TEXTS = "cast(array() as array<struct<begin:int,kind:int,end:int,v:string>>)"
+
+
 def _sql(text: str) -> str:
     """A string as a SQL literal."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _spans(kind: int, pattern: str, keep: str = "true", value: int = 0, given: str = "true") -> Column:
-    """Spans of all matches, from the lengths of the matches and of what lies between; `keep` may ask for x.v, the group of number `value`."""
+def _spans(kind: int, pattern: str, keep: str = "true", value: int = 0, given: str = "true", texts: bool = False) -> Column:
+    """Spans of all matches, from the lengths of the matches and of what lies between; `keep` may ask for x.v, the group of number `value`, which `texts` adds to the spans."""
     p = _sql(pattern)
     pieces, matches = f"split(t, {p}, -1)", f"regexp_extract_all(t, {p}, 0)"
     if value:
         places = f"zip_with(zip_with({pieces}, {matches}, (a, b) -> struct(length(a) as gap, length(b) as n)), regexp_extract_all(t, {p}, {value}), (x, v) -> struct(x.gap as gap, x.n as n, v as v))"
     else:
         places = f"zip_with({pieces}, {matches}, (a, b) -> struct(length(a) as gap, length(b) as n, b as v))"
-    none = "cast(array() as array<struct<begin:int,kind:int,end:int>>)"
+    none = _NO_TEXTS if texts else "cast(array() as array<struct<begin:int,kind:int,end:int>>)"
     return F.expr(f"""
         if({given},
            aggregate(
@@ -60,7 +64,7 @@ def _spans(kind: int, pattern: str, keep: str = "true", value: int = 0, given: s
              (acc, x) -> struct(
                acc.pos + x.gap + coalesce(x.n, 0) as pos,
                if(x.n is not null and ({keep}),
-                  concat(acc.found, array(struct(acc.pos + x.gap as begin, {kind} as kind, acc.pos + x.gap + x.n as end))),
+                  concat(acc.found, array(struct(acc.pos + x.gap as begin, {kind} as kind, acc.pos + x.gap + x.n as end{", x.v as v" if texts else ""}))),
                   acc.found) as found),
              acc -> acc.found),
            {none})""")
@@ -127,8 +131,13 @@ def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", keep: lis
     ratio = f"""aggregate(sequence(1, length(x.v) - 1), 0D, (s, i) -> s + element_at(cast(split({table}, ',') as array<double>),
         (instr({letters}, substring(x.v, i, 1)) - 1) * {n} + instr({letters}, substring(x.v, i + 1, 1))))"""
     judged = f"x.v rlike '[A-Za-z]' and {ratio} > {MIN_RATIO}D"
-    spans = rule_spans(own).withColumn("_markov", _spans(4, CANDIDATE, judged))
-    added = "filter(_markov, m -> not exists(base, b -> m.begin < b.end and b.begin < m.end))"
+    piece = lambda end: f"""if({end} - acc.pos >= {MIN_RUN},
+        concat(acc.found, array(struct(acc.pos as begin, m.kind as kind, {end} as end, substring(m.v, acc.pos - m.begin + 1, {end} - acc.pos) as v))), acc.found)"""
+    pieces = f"""flatten(transform(_runs, m -> aggregate(filter(base, b -> m.begin < b.end and b.begin < m.end), struct(m.begin as pos, {_NO_TEXTS} as found),
+        (acc, b) -> struct(greatest(acc.pos, b.end) as pos, {piece("b.begin")} as found),
+        acc -> {piece("m.end")})))"""
+    spans = rule_spans(own).withColumn("_runs", _spans(4, CANDIDATE, texts=True))
+    added = f"transform(filter({pieces}, x -> {judged}), x -> struct(x.begin as begin, x.kind as kind, x.end as end))"
     return spans.withColumn("found", F.expr(f"array_sort(concat(base, {added}))")).select("row.*", "base", "found")
 
 
