@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -109,3 +110,13 @@ def test_repeated_rows(spark):
     df = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (2, "A b c d"), (9, "x y z")], "doc_id long, text string")
     got = sorted((r.doc_id, r.component_id, r.kept) for r in dedup.near_duplicates(df, width=2).collect())
     assert got == [(2, 2, True), (5, 2, False), (5, 2, False), (9, 9, True)]
+
+
+def test_one_row_of_a_repeated_document_stays(spark):
+    rows = [(2, "a b c d", "y"), (2, "a b c d", "x"), (2, "other words of the same id", "x"), (5, "A b c d", "x"), (9, None, "x"), (9, None, "x")]
+    rows += [(None, "one two three", "x")] * 3 + [(None, "four", "x"), (None, None, "x"), (None, None, "x"), (None, " ", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = dedup.drop_near_duplicates(df, width=2)
+    assert kept.columns == df.columns
+    want = [(2, "a b c d", "x"), (2, "other words of the same id", "x"), (9, None, "x"), (None, "one two three", "x"), (None, "four", "x"), (None, None, "x"), (None, None, "x"), (None, " ", "x")]
+    assert Counter(map(tuple, kept.collect())) == Counter(want)

@@ -28,7 +28,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -240,7 +240,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stand for their component, with all their columns; the ids that go are broadcast only if few."""
+    """One document of each component, with all its columns; the ids that go are broadcast only if few.
+
+    Of a standing id's rows with the same text one stays, and of the rows with a
+    null id and the same text, unless it has no words; which is decided by their
+    other columns as text. Only rows of repeated ids are moved.
+    """
     found = near_duplicates(docs, id_col, text_col, width, percent)
-    gone = bounded(materialize(found.where("not kept").select(F.col(id_col).alias("_gone")).distinct(), "gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    ids = found.groupBy(F.col(id_col).alias("_id")).agg(F.bool_and("kept").alias("_stands"), F.count("*").alias("_rows"))
+    ids = materialize(ids.where("not _stands or _rows > 1"), "gone")
+    gone = bounded(ids.where("not _stands").select("_id"))
+    stay = docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+    if ids.where("_stands").isEmpty():
+        return stay
+    again = bounded(ids.where("_stands").select("_id"))
+    same = docs[id_col].eqNullSafe(again["_id"])
+    others = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)]
+    first = F.row_number().over(Window.partitionBy(id_col, text_col).orderBy(*others, F.lit(0))) == 1
+    wordless = F.col(id_col).isNull() & ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = stay.join(again, same, "left_semi").withColumn("_first", first | wordless).where("_first").drop("_first")
+    return stay.join(again, same, "left_anti").unionByName(one)
