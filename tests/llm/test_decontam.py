@@ -64,3 +64,15 @@ def test_frame_in_blocks_equals_one_block(spark):
     assert [list(r)[1:6] for r in whole[: len(TEXTS)]] == [brute(t, ITEMS, 8)[0] for t in TEXTS]
     assert decontam.decontaminate(docs.limit(0), items).count() == 0
     assert decontam.decontaminate(docs, items.limit(0)).where("n_items > 0").count() == 0
+
+
+def test_passages_that_arise_at_seams_are_cut(spark):
+    a, b = [f"a{i}" for i in range(8)], [f"b{i}" for i in range(10)]
+    items = spark.createDataFrame([("A", " ".join(a)), ("B", " ".join(b))], "item_id string, text string")
+    nested, rest = " ".join([*b[:5], *a, *b[5:]]), " ".join(f"c{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, nested), (2, f"{nested} {rest}"), (3, rest), (4, None)], "doc_id long, text string")
+    for block_bytes in (decontam.BLOCK_BYTES, 20):
+        got = {r.doc_id: r for r in decontam.decontaminate(docs, items, block_bytes=block_bytes).collect()}
+        assert (got[1].n_hit, got[1].n_items, got[1].stays) == (8, 1, False)
+        assert (got[2].n_hit, got[2].stays, got[2].clean_text.split()) == (8, True, rest.split())
+        assert got[3].clean_text == rest and got[4].clean_text is None and got[3].stays and got[4].stays

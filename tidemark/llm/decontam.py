@@ -4,8 +4,9 @@ The automaton holds every run of words of every item. A document's words stream
 through it, one state and one matching length at a time; wherever the length
 reaches the window (8 words, or a whole item of fewer) the window's words are
 hit, and the window's state tells which items hold it. Spans of hit words are
-cut out of the text if their matching length reaches a limit; a document mostly
-made of hits is left out.
+cut out of the text if their matching length reaches a limit, and the cut text is
+searched again until nothing is cut, as a window can arise at a seam; a document
+of which most words are hits or cut is left out. Counts are those of the first search.
 
 Null and empty texts have no words and no hits; null items and items without
 words have no windows; items with the same id count once. Repeated rows are
@@ -176,6 +177,14 @@ def cut(text: str, spans: list[int], min_words: int) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
+def recut(text: str, spans: list[int], min_words: int, machine: Automaton | None) -> str:
+    """The text cut and, with the automaton of all items, searched and cut until no span of so many words is left."""
+    while any(e - b >= min_words for b, e in zip(spans[::2], spans[1::2])):
+        text = cut(text, spans, min_words)
+        spans = machine.search(words_of(text))[0] if machine else []
+    return text
+
+
 def make_kernel(real: bool, window: int, cut_words: int, coverage: float):
     def make(items: list[tuple[str, str | None]]):
         machine = kept_model((__name__, window, hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).digest()), lambda: Automaton(items, window))
@@ -191,7 +200,9 @@ def make_kernel(real: bool, window: int, cut_words: int, coverage: float):
                 names = sorted(items_)
                 row = [len(words), hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), len(names) >= MIN_ITEMS]
                 if real:
-                    row += [names, most, cut(text, own, cut_words) if own else text, hit <= coverage * len(words)]
+                    clean = recut(text, own, cut_words, machine if spans is None else None)
+                    gone = len(words) - len(words_of(clean)) if own else 0
+                    row += [names, most, clean, max(hit, gone) <= coverage * len(words)]
                 for column, value in zip(out, row):
                     column.append(value)
             return out
@@ -220,6 +231,20 @@ def make_pass(window: int):
     return make
 
 
+def make_recut(cut_words: int, coverage: float):
+    """After all blocks have searched the cut text: the text cut again, whether the document stays, and whether anything was cut."""
+
+    def kernel(texts, words, stays, spans) -> list[list]:
+        out: list[list] = [[], [], []]
+        for text, n, stay, own in zip(texts, words, stays, spans):
+            clean = recut(text, own, cut_words, None)
+            for column, value in zip(out, (clean, stay and n - len(words_of(clean)) <= coverage * n, clean != text)):
+                column.append(value)
+        return out
+
+    return lambda _: kernel
+
+
 def decontaminate(
     docs: DataFrame,
     items: DataFrame,
@@ -238,21 +263,37 @@ def decontaminate(
     `cut_words` is the least length of a hit run that is cut out of clean_text
     (a run is at least one window, or a whole short item). No shuffle: a block
     of items is broadcast and the documents stream past it; before another
-    block's pass the documents and what was found are written.
+    block's pass the documents and what was found are written. With several
+    blocks, texts that were cut are searched again in passes of their own.
     """
     named = items.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text"))
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     keep = list(docs.columns if keep is None else keep)
-    carried: list[str] = []
-    for b in range(blocks):
+
+    def rows(b: int) -> list[tuple[str, str]]:
         part = named if blocks == 1 else named.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        rows = sorted({(r.item, r.text) for r in part.where("item is not null and text is not null").toLocalIterator()})
-        fields = REAL_FIELDS if real else FIELDS
-        if b < blocks - 1:
-            docs = annotate(docs, [text_col, *carried], make_pass(window), _HITS, payload=rows, keep=[*keep, text_col] if text_col not in keep else keep)
-            docs = materialize(docs, f"block-{b}")  # one automaton at a time in a worker
+        return sorted({(r.item, r.text) for r in part.where("item is not null and text is not null").toLocalIterator()})
+
+    def searched(docs: DataFrame, text: str, keep: list[str], blocks_: range) -> DataFrame:
+        """What the blocks find, each block's pass written: one automaton at a time in a worker."""
+        carried: list[str] = []
+        for b in blocks_:
+            docs = materialize(annotate(docs, [text, *carried], make_pass(window), _HITS, payload=rows(b), keep=list(dict.fromkeys([*keep, text]))), f"block-{b}")
             carried = [f.name for f in _HITS]
-        else:
-            docs = annotate(docs, [text_col, *carried], make_kernel(real, window, cut_words, coverage), fields, payload=rows, keep=keep)
-    return docs
+        return docs
+
+    docs = searched(docs, text_col, keep, range(blocks - 1))
+    carried = [f.name for f in _HITS] if blocks > 1 else []
+    docs = annotate(docs, [text_col, *carried], make_kernel(real, window, cut_words, coverage), REAL_FIELDS if real else FIELDS, payload=rows(blocks - 1), keep=keep)
+    if blocks == 1 or not real:
+        return docs
+    columns, again = docs.columns, [T.StructField("clean_text", T.StringType()), T.StructField("stays", T.BooleanType()), T.StructField("_again", T.BooleanType())]
+    docs = materialize(docs, "cut")
+    done, open_ = docs.where("n_hit = 0"), docs.where("n_hit > 0")
+    while not open_.isEmpty():  # a round has at least a word less in each open text
+        found = searched(open_, "clean_text", columns, range(blocks))
+        found = materialize(annotate(found, ["clean_text", "n_words", "stays", "_spans"], make_recut(cut_words, coverage), again, keep=columns), "recut")
+        done = done.unionByName(found.where("not _again").select(columns))
+        open_ = found.where("_again").select(columns)
+    return done
