@@ -12,20 +12,27 @@ def fold(id_col: str, folds: int):
 
 
 def sample_texts(docs: DataFrame, labelled: DataFrame, per_class: int, max_bytes: int, id_col: str, text_col: str) -> list[tuple]:
-    """(label, text) of at most `per_class` documents of each label, those whose ids hash lowest.
+    """(label, text) of `per_class` documents with text of each label, or of all that there are.
 
-    `labelled` has the columns id and label, one row an id. Ids are chosen from
-    narrow rows first; only the chosen ones, few by their bound, are broadcast
-    to fetch whole texts of at most `max_bytes`.
+    `labelled` has the columns id and label, one row an id. Documents without
+    text take no place. Those of at most `max_bytes` come before longer ones,
+    and among either those whose ids hash lowest; of a longer one `max_bytes`
+    characters from its middle are taken, so that a label of long documents only
+    is learned as well. Ids are chosen from narrow rows; only the chosen ones,
+    few by their bound, are broadcast to fetch texts. Of several texts of an id
+    the one that comes first in this order, then in that of texts, counts.
     """
-    lowest = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = labelled.where("id is not null and label is not null").withColumn("rank", F.row_number().over(lowest)).where(F.col("rank") <= per_class)
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    size = F.octet_length("text")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(size > 0).withColumn("long", size > max_bytes)
+    usable = texts.groupBy("id").agg(F.min("long").alias("long"))
+    lowest = Window.partitionBy("label").orderBy("long", F.xxhash64("id"), "id")
+    ranked = labelled.where("id is not null and label is not null").join(usable, "id").withColumn("rank", F.row_number().over(lowest))
+    chosen = ranked.where(F.col("rank") <= per_class).select("id", "label", "long")
+    middle = F.when(F.col("long"), F.substring(F.col("text"), F.greatest(F.lit(1), ((F.length("text") - max_bytes) / 2).cast("int") + 1), F.lit(max_bytes))).otherwise(F.col("text"))
     rows = (
-        texts.where(F.octet_length("text").between(1, max_bytes))
-        .join(F.broadcast(chosen.select("id", "label")), "id")
+        texts.join(F.broadcast(chosen), ["id", "long"])
         .groupBy("label", "id")
-        .agg(F.min("text").alias("text"))  # one text an id, however often it is repeated
+        .agg(F.min(middle).alias("text"))  # one text an id, however often it is repeated
         .toArrow()
         .sort_by([("label", "ascending"), ("id", "ascending"), ("text", "ascending")])
     )
