@@ -120,3 +120,73 @@ def test_one_row_of_a_repeated_document_stays(spark):
     assert kept.columns == df.columns
     want = [(2, "a b c d", "x"), (2, "other words of the same id", "x"), (9, None, "x"), (None, "one two three", "x"), (None, "four", "x"), (None, None, "x"), (None, None, "x"), (None, " ", "x")]
     assert Counter(map(tuple, kept.collect())) == Counter(want)
+
+
+def test_no_text_is_lost_where_an_id_has_several(spark):
+    rows = [(1, "alpha beta gamma"), (5, "Alpha beta gamma"), (5, "one two three"), (9, "one two  three")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in dedup.near_duplicates(df, width=2).collect()) == [(1, 1, True), (5, 1, False), (5, 1, False), (9, 1, False)]
+    assert sorted(map(tuple, dedup.drop_near_duplicates(df, width=2).collect())) == [(1, "alpha beta gamma"), (5, "one two three")]
+
+
+def test_repeated_ids_equal_brute_force(spark):
+    rng = random.Random(11)
+    texts = ["", "lone"] + [t for edits in (1, 4, 7) for t in variants(rng, [f"w{rng.randrange(400)}" for _ in range(60)], 12, edits)]
+    rows = [(rng.choice([rng.randrange(30), rng.randrange(1000)]), t) for t in texts + rng.sample(texts, 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    places = brute(list(enumerate(t for _, t in rows)))  # each row by itself
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (_, r) in places.items():
+        a, b = find(rows[k][0]), find(rows[r][0])
+        root[max(a, b)] = min(a, b)
+    got = Counter(tuple(r) for r in dedup.near_duplicates(df, width=2).select("doc_id", "n_shingles", "component_id", "kept").collect())
+    assert got == Counter((i, places[k][0], find(i) if t else i, not t or find(i) == i) for k, (i, t) in enumerate(rows))
+    kept = [tuple(r) for r in dedup.drop_near_duplicates(df, width=2).collect()]
+    assert not Counter(kept) - Counter(rows)
+    component = {text: places[k][1] for k, (_, text) in enumerate(rows) if text}
+    assert Counter(component[t] for _, t in kept if t) == Counter(set(component.values()))  # one text of each component
+
+
+def pages(rng, n, share):
+    """Pages of one template, of which `share` of 200 words is the template's."""
+    own = [f"t{i}" for i in range(int(200 * share))]
+    return [" ".join(own + [f"u{rng.randrange(100_000)}" for _ in range(200 - len(own))]) for _ in range(n)]
+
+
+def test_pages_of_a_template_are_not_compared_all_with_all(spark, monkeypatch):
+    compared = []
+    agree = dedup.agree
+    monkeypatch.setattr(dedup, "agree", lambda pairs, least: compared.append(pairs.count()) or agree(pairs, least))
+    rng = random.Random(5)
+    for share in (0.8, 0.86):  # similarities of 0.66 and 0.75: no link, but most pairs share a bucket
+        texts = pages(rng, 600, share)
+        near = [t.replace("t3 ", "changed ") for t in texts[:20]]  # and a near copy of some
+        compared.clear()
+        got = dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string"), width=2).collect()
+        assert {r.doc_id: r.component_id for r in got} == {i: i if i < 600 else i - 600 for i in range(620)}
+        assert sum(compared) < 20 * 620
+
+
+def test_links_between_components_that_no_star_shows(spark, monkeypatch):
+    """With stars cut off, the prefix filter alone finds every link."""
+    rng = random.Random(9)
+    texts = pages(rng, 40, 0.86) + [t for edits in (2, 5, 8) for t in variants(rng, [f"w{rng.randrange(400)}" for _ in range(90)], 20, edits)]
+    sets = [sorted(x.view(np.int64).tolist()) for x in dedup.shingle_sets(texts, 2)]
+    df = spark.createDataFrame([(i, i, s) for i, s in enumerate(sets)], "id long, root long, set array<long>")
+    got = {(r.a, r.b) for r in dedup.prefix_pairs(df, 80).collect()}
+    want = {(i, j) for j, t in enumerate(sets) for i, s in enumerate(sets[:j]) if 100 * len(set(s) & set(t)) >= 80 * len(set(s) | set(t))}
+    assert want <= got and len(got) < 3 * len(want) + 40
+
+
+def test_very_long_words_and_texts(spark):
+    word, prose = "x" * 10_000_000, " ".join(f"w{i % 50_021}" for i in range(1_500_000))
+    rows = [(1, word), (2, word), (3, word + "y"), (4, prose), (5, prose + " end"), (6, f"a {word} b")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got[1] == got[2] == (1, 1) and got[3] == (1, 3) and got[6] == (2, 6)
+    assert got[5][1] == got[4][1] == 4 and got[5][0] == got[4][0] + 1

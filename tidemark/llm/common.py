@@ -6,6 +6,7 @@ module calls :func:`ship`, so its functions travel by value.
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -36,6 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name like `name` that the columns don't have, whatever its case."""
+    have = {c.lower() for c in columns}
+    while f"_{name}".lower() in have:
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def process_cache() -> dict:
     """A dictionary that lives as long as the Python worker, across tasks."""
     name = "_tidemark_process_cache"
@@ -81,10 +90,16 @@ def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.Record
         yield batch.slice(begin, n - begin)
 
 
+def _bytes(text: str) -> int:
+    """A size as Spark's settings have it, such as 8388608, 8388608b, 64m or 1g."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", text.lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit[:1] if unit else ""]
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes, unless the session has its own bound below the default."""
+    """Bounds the session's Arrow batches by bytes, unless it has a lower bound: for queries, which own their session; operators leave it alone."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("bB")) > ARROW_BYTES:
+    if not 0 < _bytes(spark.conf.get(name)) <= ARROW_BYTES:
         spark.conf.set(name, str(ARROW_BYTES))
 
 
@@ -111,7 +126,6 @@ def annotate(
     stay = [c for c in (df.columns if keep is None else keep) if c not in names]
     ask = list(dict.fromkeys([*stay, *texts]))
     df = df.select(*(F.col(f"`{c}`") for c in ask))
-    small_batches(df.sparkSession)
     schema = T.StructType([*(df.schema[c] for c in stay), *fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -8,7 +8,7 @@ from tidemark.llm.common import process_cache, ship
 
 ship(__name__)
 
-#: Bytes hashed in one go; cuts fall on separators, so only a longer word makes a window longer.
+#: Bytes hashed in one go; cuts fall on separators, and a longer word is hashed piece by piece.
 WINDOW = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -43,6 +43,25 @@ def separators(chars: bytes) -> np.ndarray:
 BLANKS = bytes([32, 9, 10, 11, 12, 13])
 
 
+def _long_word(data: np.ndarray, blank: np.ndarray, at: int, prefixes: tuple[int, ...]) -> tuple[int, np.ndarray, list[np.ndarray]]:
+    """End, hash and prefix hashes of a word longer than a window, as hash_words gives them for others."""
+    up, _, values = _powers(WINDOW)
+    step, shift = pow(_BASE, WINDOW, 1 << 64), 1
+    total, first, to = 0, [], at
+    while True:
+        part = data[to : to + WINDOW]
+        cut = np.flatnonzero(blank[part])
+        part = part[: int(cut[0])] if len(cut) else part
+        terms = values[part] * up[: len(part)]
+        if to == at:
+            first = [mix(np.array([terms[:k].sum(dtype=np.uint64)]) + np.uint64(k)) for k in prefixes]
+        total = (total + int(terms.sum(dtype=np.uint64)) * shift) % (1 << 64)
+        to += len(part)
+        if len(cut) or to >= len(data):
+            return to, mix(np.array([total], np.uint64)), first
+        shift = shift * step % (1 << 64)
+
+
 def hash_words(data: np.ndarray, blank: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """Begins, ends and hashes of the maximal runs of bytes that aren't blank.
 
@@ -56,11 +75,16 @@ def hash_words(data: np.ndarray, blank: np.ndarray, prefixes: tuple[int, ...] =
         to = min(n, at + WINDOW)
         if to < n:  # back to a separator, or on to the next
             cut = np.flatnonzero(blank[data[at:to]])
-            if len(cut):
-                to = at + int(cut[-1]) + 1
-            else:
-                while to < n and not blank[data[to]]:
-                    to += 1
+            if not len(cut):
+                end, h, first = _long_word(data, blank, at, prefixes)
+                begins.append(np.array([at]))
+                ends.append(np.array([end]))
+                hashes.append(h)
+                for own, p in zip(more, first):
+                    own.append(p)
+                at = end
+                continue
+            to = at + int(cut[-1]) + 1
         part = data[at:to]
         inside = np.zeros(len(part) + 2, bool)
         inside[1:-1] = ~blank[part]

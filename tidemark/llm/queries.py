@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontam, dedup, langid, quality, secrets, sharding, tokencount, toxicity, warc
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table
 from tidemark.llm.samples import fold
 
 
@@ -18,10 +19,23 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def query(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Queries own their session: they bound its Arrow batches."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str, *args, **kwargs) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir, *args, **kwargs)
+
+    return run
+
+
+@query
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+@query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -30,17 +44,20 @@ def _held_out(folds: int, which: int):
     return F.coalesce(fold("doc_id", folds) == which, F.lit(False)).alias("held_out")
 
 
+@query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.train(docs), keep=["doc_id"], real=False)
     return found.select("doc_id", _held_out(langid.FOLDS, langid.HELD_OUT), "lang_pred", "score")
 
 
+@query
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits the archive of all pages against a replica with known damage: some bodies turned by a character, some records lost."""
     page, body = F.col("page_id"), F.coalesce("html", F.lit(""))
@@ -70,26 +87,31 @@ from o where page_id % 101 = 7 or page_id % 97 = 3 and concat(substring(body, 2)
 """
 
 
+@query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"], real=False)
 
 
+@query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"], real=False)
     return found.select("doc_id", _held_out(toxicity.FOLDS, 0), "score", "predicted")
 
 
+@query
 def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     pieces = tokencount.public_vocabulary(vocabulary or tokenizer_path("piece_bpe_32k.model"))
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), pieces, keep=["doc_id"])
 
 
+@query
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.digest(secrets.scan(docs, secrets.train(docs), keep=["doc_id"]))
 
 
+@query
 def op10_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary or tokenizer_path("word_bpe_49k.json"), keep=["doc_id"], real=False)
 
