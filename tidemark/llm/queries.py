@@ -168,16 +168,58 @@ select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (parti
 
 OP6_SQL = rf"""
 with dw as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
-iw as (select cast(item_id as varchar) as item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark where item_id is not null),
-win as (select distinct item, size, array_to_string(words[i:i + size - 1], ' ') as gram from
-  (select item, words, least({decontam.WINDOW}, len(words)) as size, unnest(range(1, len(words) - least({decontam.WINDOW}, len(words)) + 2)) as i from iw where len(words) > 0)),
+iw as (select row_number() over () as tx, cast(item_id as varchar) as item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark where item_id is not null),
+win as (select tx, item, j, size, array_to_string(words[j:j + size - 1], ' ') as gram from
+  (select tx, item, words, least({decontam.WINDOW}, len(words)) as size, unnest(range(1, len(words) - least({decontam.WINDOW}, len(words)) + 2)) as j from iw where len(words) > 0)),
 grams as (select doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') as gram from
   (select doc_id, words, size, unnest(range(1, len(words) - size + 2)) as i from dw, (select distinct size from win))),
-hits as (select doc_id, g.size, i, item from grams g join win using (size, gram)),
-places as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(i, i + size)) as pos from hits) group by doc_id),
+hits as (select doc_id, g.size, i, j, tx, item from grams g join win using (size, gram)),
+hit as (select distinct doc_id, pos from (select doc_id, unnest(range(i, i + size)) as pos from hits)),
+islands as (select doc_id, min(pos) - 1 as b, max(pos) as e from (select doc_id, pos, pos - row_number() over (partition by doc_id order by pos) as island from hit) group by doc_id, island),
+places as (select doc_id, cast(sum(e - b) as bigint) as n_hit, string_agg(concat(b, ':', e), ',' order by b) as spans from islands group by doc_id),
+lines as (select doc_id, size, tx, i - j as line, i - row_number() over (partition by doc_id, size, tx, i - j order by i) as island from hits),
+longest as (select doc_id, max(n + size - 1) as longest from (select doc_id, size, count(*) as n from lines group by doc_id, size, tx, line, island) group by doc_id),
 items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item from hits) group by doc_id)
-select d.doc_id, len(d.words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_items, 0) >= {decontam.MIN_ITEMS} as contaminated
-from dw d left join places using (doc_id) left join items using (doc_id)
+select d.doc_id, len(d.words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_items, 0) >= {decontam.MIN_ITEMS} as contaminated,
+  coalesce(spans, '') as spans, coalesce(longest, 0) as longest
+from dw d left join places using (doc_id) left join longest using (doc_id) left join items using (doc_id)
+"""
+
+
+def _op9_sql() -> str:
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    any_case = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")  # without Unicode's folding
+    assign, access, hexes, letters, run, n = (
+        quoted(secrets.ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", f"(?:{any_case})")), quoted(secrets.ACCESS), quoted(secrets.HEX), quoted(secrets.LETTERS), "[A-Za-z0-9+/_=-]", len(secrets.LETTERS)
+    )
+    matched = lambda k, p, v: f"select row, {k} as kind, unnest(string_split_regex(t, {p})) as gap, unnest(regexp_extract_all(t, {p}, 0)) as m, unnest({v}) as v, generate_subscripts(string_split_regex(t, {p}), 1) as i from d"
+    return rf"""
+with ids as (select doc_id from (select distinct doc_id from documents where doc_id is not null) order by md5(cast(doc_id as varchar)), doc_id limit {secrets.SAMPLE_DOCS}),
+texts as (select coalesce(text, '') as t from documents join ids using (doc_id)),
+secret as (select unnest(list_concat(regexp_extract_all(t, {assign}, 1), list_concat(regexp_extract_all(t, {access}, 0), regexp_extract_all(t, {hexes}, 0)))) as v from texts),
+hashes as (select i, sha256(cast(i as varchar)) as h from range({secrets.SAMPLE_RANDOM}) as r(i)),
+words as (select 1 as label, unnest(regexp_extract_all(v, '{run}+', 0)) as w from secret where length(v) >= 16
+  union all select 0, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(t, {assign}, ' ', 'g'), {access}, ' ', 'g'), {hexes}, ' ', 'g'), '{run}{{6,}}', 0)) from texts
+  union all select 1, case when i % 4 = 0 then substr(h, 1, 40) when i % 4 = 1 then to_base64(unhex(h)) else translate(to_base64(unhex(h)), '+/=', '') end from hashes),
+pairs as (select label, instr({letters}, w[i]) - 1 as a, instr({letters}, w[i + 1]) - 1 as b, count(*) as n from (select label, w, unnest(range(1, length(w))) as i from words) group by all),
+grid as (select label, a, b, coalesce(pairs.n, 0) as n, greatest(1, sum(coalesce(pairs.n, 0)) over (partition by label, a)) as total
+  from (select label, a, b from (select unnest([0, 1]) as label) l, (select unnest(range({n})) as a) x, (select unnest(range({n})) as b) y) g left join pairs using (label, a, b)),
+chance as (select label, a, b, {1 - secrets.FLOOR}::double * n / cast(total as double) + {secrets.FLOOR}::double / {n} as p from grid),
+ratios as (select o.a, o.b, cast(floor(ln(r.p / o.p) * {secrets.SCALE} + 0.5::double) as bigint) as r from chance o join chance r using (a, b) where o.label = 0 and r.label = 1),
+d as (select row_number() over () as row, doc_id, coalesce(text, '') as t from documents),
+m as ({matched(1, assign, f"regexp_extract_all(t, {assign}, 1)")} union all {matched(2, access, "[]::varchar[]")} union all {matched(3, hexes, "[]::varchar[]")} union all {matched(4, quoted(run + "{16,}"), "[]::varchar[]")}),
+s as (select row, kind, m, v, sum(length(gap) + coalesce(length(m), 0)) over (partition by row, kind order by i) as e from m),
+spans as (select row, kind, e - length(m) as b, e, m from s where m is not null and (kind <> 1 or length(v) >= 8)),
+base as (select row, kind, b, e from spans where kind < 4),
+taken as (select distinct row, unnest(range(cast(b as bigint), cast(e as bigint))) as pos from base),
+chars as (select row, cast(b as bigint) + i - 1 as pos, instr({letters}, m[i]) - 1 as code from (select row, b, m, unnest(range(1, length(m) + 1)) as i from spans where kind = 4)),
+left_ as (select row, pos, code, pos - row_number() over (partition by row order by pos) as island from chars anti join taken using (row, pos)),
+steps as (select row, island, pos, code, lead(code) over (partition by row, island order by pos) as after from left_),
+judged as (select row, island, min(pos) as b, max(pos) + 1 as e, bool_or(code < 52) as letter, coalesce(sum(r), 0) as r from steps left join ratios on a = code and ratios.b = after group by row, island),
+found as (select * from base union all select row, 4, b, e from judged where e - b >= {secrets.MIN_RUN} and letter and r > {round(secrets.MIN_RATIO * secrets.SCALE)}),
+named as (select row, kind, concat({list(secrets.KINDS)}[kind], ':', cast(b as bigint), ':', cast(e as bigint)) as name, b, e from found),
+g as (select row, count(*) filter (kind = 1) as n1, count(*) filter (kind = 2) as n2, count(*) filter (kind = 3) as n3, string_agg(name, ',' order by b, kind, e) filter (kind < 4) as base, string_agg(name, ',' order by b, kind, e) as spans from named group by row)
+select doc_id, coalesce(n1, 0) as n_assign, coalesce(n2, 0) as n_access, coalesce(n3, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (row)
 """
 
 
@@ -200,4 +242,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_sharding": OP4_SQL,
     "op5_warc_fixity": OP5_SQL,
     "op6_decontamination": OP6_SQL,
+    "op9_secret_scans": _op9_sql(),
 }
