@@ -48,3 +48,39 @@ def test_edges(spark):
     rows = toxicity.score(df, model).collect()
     assert len(rows) == 3 and all(0 <= r.score < 0.5 for r in rows)
     assert toxicity.score(df.limit(0), toxicity.train(df.limit(0), labels.limit(0))).count() == 0
+
+
+def test_gradient_equals_finite_differences_and_loss_its_definition():
+    rng = np.random.default_rng(6)
+    labels, n, f = np.array([1, 0, 1, 0, 1, 0]), 6, 5
+    doc = np.sort(rng.integers(0, n, 12))
+    sentence, feature = rng.integers(0, 12, 30), rng.integers(0, f, 30)
+    plain, importance, decay = rng.integers(0, 4, n).astype(float), rng.random(n) + 0.5, 0.3
+    w, bias = rng.normal(size=f), -1.5
+    loss, dw, db = toxicity.objective(w, bias, labels, importance, doc, sentence, feature, plain, decay)
+    total = 0.0
+    for d in range(n):  # document by document, sentence by sentence
+        clean = (1 - 1 / (1 + math.exp(-bias))) ** plain[d]
+        for k in np.flatnonzero(doc == d):
+            z = bias + sum(w[g] for s, g in zip(sentence, feature) if s == k)
+            clean *= 1 - 1 / (1 + math.exp(-z))
+        total -= importance[d] * math.log(1 - clean if labels[d] else clean)
+    assert math.isclose(loss, total / n + decay * (w**2).sum() / (2 * n), rel_tol=1e-9)
+    at = lambda w, b: toxicity.objective(w, b, labels, importance, doc, sentence, feature, plain, decay)[0]
+    e = 1e-6
+    assert math.isclose((at(w, bias + e) - at(w, bias - e)) / (2 * e), db, rel_tol=1e-5)
+    for k in range(f):
+        step = np.eye(f)[k] * e
+        assert math.isclose((at(w + step, bias) - at(w - step, bias)) / (2 * e), dw[k], rel_tol=1e-4, abs_tol=1e-8)
+
+
+def test_very_long_texts():
+    weights = np.zeros((1 << toxicity.BITS) + 1, np.float32)
+    weights[toxicity.featurize(["vile"])[0][0, 0]] = 12.0
+    kernel = toxicity.make_kernel(True)((weights, -20.0))
+    prose = "some é words here. " * 500_000
+    score, predicted, where = kernel([prose + "so vile.", "x" * 10_000_000, prose])
+    assert predicted == [0, 0, 0] and math.isclose(score[0] - score[2], math.exp(-8), rel_tol=0.01) and score[1] < 1e-6
+    weights[toxicity.featurize(["vile"])[0][0, 0]] = 30.0
+    score, predicted, where = kernel([prose + "so vile."])
+    assert predicted == [1] and [(s["begin"], s["end"]) for s in where[0]] == [(len(prose), len(prose) + 7)]

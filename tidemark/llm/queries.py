@@ -47,8 +47,9 @@ def _held_out(folds: int, which: int):
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = langid.predict(docs, langid.train(docs), keep=["doc_id"], real=False)
-    return found.select("doc_id", _held_out(langid.FOLDS, langid.HELD_OUT), "lang_pred", "score")
+    found = langid.predict(docs, langid.train(docs), keep=["doc_id"])
+    bits = F.expr("array_join(transform(map_entries(bits), e -> concat(e.key, ':', cast(round(e.value, 3) as string))), ',')").alias("code_bits")
+    return found.select("doc_id", _held_out(langid.FOLDS, langid.HELD_OUT), "lang_pred", "score", bits)
 
 
 @query
@@ -95,8 +96,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"], real=False)
-    return found.select("doc_id", _held_out(toxicity.FOLDS, 0), "score", "predicted")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    sentences = F.expr("array_join(transform(sentences, s -> concat(s.begin, ':', s.end, ':', cast(round(s.score, 4) as string))), ',')").alias("sentences")
+    return found.select("doc_id", _held_out(toxicity.FOLDS, 0), "score", "predicted", sentences)
 
 
 @query

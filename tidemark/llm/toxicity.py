@@ -9,7 +9,8 @@ with their own score. Features are words and their first 4 to 8 bytes, hashed.
 Null, empty and wordless texts score 0. Repeated rows are scored each; an id
 labelled twice takes the larger label. Without toxic labels all weights are 0
 and every score is near 0. The fit uses at most `SAMPLE` documents a label of
-at most `SAMPLE_BYTES`; scoring reads whole texts, without a shuffle.
+at most `SAMPLE_BYTES` (longer ones by a slice, if there are too few others);
+scoring reads whole texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -79,6 +80,24 @@ def unlike(sample: list[tuple[int, str]]) -> list[tuple[int, str]]:
     return out
 
 
+def objective(w: np.ndarray, bias: float, labels: np.ndarray, importance: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, plain: np.ndarray, decay: float) -> tuple[float, np.ndarray, float]:
+    """The noisy-or loss of document labels and its gradient by the weights and the bias.
+
+    `doc` is the document of each sentence that has chosen features, `sentence`
+    and `feature` are the pairs of these, and `plain` each document's number of
+    other sentences.
+    """
+    n = len(labels)
+    z = bias + np.bincount(sentence, w[feature], minlength=len(doc))
+    s = np.bincount(doc, np.logaddexp(0, z), minlength=n) + plain * np.logaddexp(0, bias)  # -log(1 - P)
+    odds = np.maximum(np.expm1(np.minimum(s, 500)), 1e-6)
+    loss = (importance * np.where(labels == 1, np.log1p(1 / odds), s)).sum() / n + decay * (w @ w) / (2 * n)
+    pull = np.where(labels == 1, -1 / odds, 1.0) * importance / n
+    dz = pull[doc] / (1 + np.exp(-z))
+    dw = np.bincount(feature, dz[sentence], minlength=len(w)) + decay * w / n
+    return loss, dw, dz.sum() + (pull * plain).sum() / (1 + np.exp(-bias))
+
+
 def fit(sample: list[tuple[int, str]], epochs: int = 250, rate: float = 1.0, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights of all features (one more, 0, for none) and the bias, by full-batch Adagrad on the noisy-or likelihood."""
     size = 1 << BITS
@@ -117,15 +136,7 @@ def fit(sample: list[tuple[int, str]], epochs: int = 250, rate: float = 1.0, dec
     gw, gb = np.full(len(w), 1e-2), 1e-2
     importance = np.where(labels == 1, 0.5 / positives, 0.5 / negatives) * len(labels)
     for _ in range(epochs):
-        z = bias + np.bincount(sentence_, w[feature_], minlength=total)
-        soft = np.logaddexp(0, z)
-        base, pb = np.logaddexp(0, bias), 1 / (1 + np.exp(-bias))
-        s = np.bincount(doc_, soft, minlength=len(labels)) + plain * base  # -log(1 - P)
-        pull = np.where(labels == 1, -1 / np.maximum(np.expm1(s), 1e-6), 1.0) * importance / len(labels)
-        p = 1 / (1 + np.exp(-z))
-        dz = pull[doc_] * p
-        dw = np.bincount(feature_, dz[sentence_], minlength=len(w)) + decay * w / len(labels)
-        db = dz.sum() + (pull * plain * pb).sum()
+        _, dw, db = objective(w, bias, labels, importance, doc_, sentence_, feature_, plain, decay)
         gw += dw * dw
         gb += db * db
         w -= rate * dw / np.sqrt(gw)
@@ -150,7 +161,7 @@ def make_kernel(real: bool):
                 cut = np.searchsorted(head, first)  # sentences never cross texts
                 scores = -np.expm1(soft[cut[:-1]] - soft[cut[1:]])
                 if real:
-                    chars = np.cumsum((data & 0xC0) != 0x80)
+                    chars = np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)
                     p = 1 / (1 + np.exp(-sums))
                     last = np.concatenate([head[1:], [len(begin)]]) - 1
                     for k in np.flatnonzero(p >= THRESHOLD):
