@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -76,6 +77,25 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert again == {(i, r.ids_sha256) for i, r in rows.items()}
 
 
+def test_pipeline_leaves_extra_columns_alone(spark):
+    """Columns with the names that operators use, odd names, types of their own, nulls and repeated rows."""
+    extra = ["score", "predicted", "items", "spans", "base", "found", "row", "t", "low", "rest", "clean", "clean_text", "stays", "n_words", "id", "set_key", "_one", "_set_key", "_rest", "kept", "label", "rank", "a b", "_number"]
+    plain = table(spark, AT, "documents")
+    docs = plain.select("*", *(F.lit(f"mine {c}").alias(c) for c in extra), F.array("doc_id").alias("own list"))
+    odd = [(None, None), (None, ""), (None, "one two"), (None, "one two"), (-1, None), (-1, None), (-2, " . "), (-3, "password=abcdefgh12")]
+    more = spark.createDataFrame(odd, "doc_id long, text string")
+    docs = docs.unionByName(more, allowMissingColumns=True)
+    for (name, stage), without in zip(corpus_pipeline.STAGES[:-1], (plain.unionByName(more, allowMissingColumns=True),) * 4):
+        out = stage(spark, docs, AT)
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString(), name
+        rows = out.collect()
+        assert all(r[c] in (f"mine {c}", None) and (r[c] is not None or r.doc_id is None or r.doc_id < 0) for r in rows for c in extra), name
+        assert all(r["own list"] in (None, [r.doc_id]) for r in rows)
+        assert Counter((r.doc_id, r.text, r.n_chars) for r in rows) == Counter((r.doc_id, r.text, r.n_chars) for r in stage(spark, without, AT).collect()), name
+        assert stage(spark, docs.limit(0), AT).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, AT).count() == docs.count()
+
+
 def test_workers_need_no_package(tmp_path):
     code = f"""
 import sys; sys.path.insert(0, {ROOT!r})
