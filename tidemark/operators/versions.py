@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.sources.shared import BROADCAST_ROWS
 
 VERSION = ["op", "value", "commit_ts", "seq"]
+#: The family of keys that name none.
+DEFAULT = "default"
 #: Timestamps of one slice: the most versions of a key, but for ties, that one task sorts.
 SLICE = 1 << 20
 
@@ -76,27 +78,50 @@ def intervals(log: DataFrame, width: int = SLICE) -> DataFrame:
 def as_of(log: DataFrame, requests: DataFrame, n_requests: int | None = None, width: int = SLICE) -> DataFrame:
     """For each request (req_id, key, snapshot_ts) the newest version not later, op and commit_ts null if there is none.
 
-    Requests are merged with the log, slice of time by slice of time, and take
-    the last version before them in their slice, or at the end of an earlier
-    one: one row a request and version, never their product. The keys of few
-    requests (counted) are broadcast first, so that other keys aren't moved.
+    Each family is a keyspace of its own: requests name theirs in a column cf,
+    the default one if they have no such column or it is null or empty. Requests
+    are merged with the log, slice of time by slice of time, and take the last
+    version before them in their slice, or at the end of an earlier one: one row
+    a request and version, never their product. The keys of few requests
+    (counted) are broadcast first, so that other keys aren't moved. Every
+    request is answered, also one with a null req_id.
     """
+    cf = F.coalesce(F.nullif("cf", F.lit("")), F.lit(DEFAULT)) if "cf" in requests.columns else F.lit(DEFAULT)
+    requests = requests.withColumn("cf", cf)
+    place = ["cf", "key"]
     bounds = requests.agg(F.count("*").alias("n"), F.max("snapshot_ts").alias("last")).first()
-    own = normalized(log).select("key", *VERSION)
+    own = normalized(log).select(*place, *VERSION)
     if bounds.last is not None:
         own = own.where(F.col("commit_ts") <= bounds.last)
     if (bounds.n if n_requests is None else n_requests) <= BROADCAST_ROWS:
-        own = own.join(F.broadcast(requests.select("key").distinct()), "key", "left_semi")
-    versions_ = own.select("key", "commit_ts", "seq", F.struct("op", "value", "commit_ts").alias("v"), _slice("commit_ts", width))
-    marks = requests.select("key", "req_id", "snapshot_ts", F.col("snapshot_ts").alias("commit_ts"), _slice("snapshot_ts", width))
-    order = Window.partitionBy("key", "slice").orderBy("commit_ts", F.col("req_id").isNotNull(), "seq").rowsBetween(Window.unboundedPreceding, 0)
-    near = versions_.unionByName(marks, allowMissingColumns=True).withColumn("near", F.last("v", ignorenulls=True).over(order)).where("req_id is not null")
+        own = own.join(F.broadcast(requests.select(place).distinct()), place, "left_semi")
+    versions_ = own.select(*place, "commit_ts", "seq", F.struct("op", "value", "commit_ts").alias("v"), _slice("commit_ts", width), F.lit(False).alias("asks"))
+    marks = requests.select(*place, "req_id", "snapshot_ts", F.col("snapshot_ts").alias("commit_ts"), _slice("snapshot_ts", width), F.lit(True).alias("asks"))
+    order = Window.partitionBy(*place, "slice").orderBy("commit_ts", "asks", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    near = versions_.unionByName(marks, allowMissingColumns=True).withColumn("near", F.last("v", ignorenulls=True).over(order)).where("asks")
     if bounds.last is not None and bounds.last < width:  # timestamps are positive: there is no earlier slice
         found = near.withColumn("v", F.col("near"))
     else:
-        ends = versions_.groupBy("key", "slice").agg(F.max_by("v", F.struct("commit_ts", "seq")).alias("end")).unionByName(marks.select("key", "slice").distinct(), allowMissingColumns=True)
-        ends = ends.groupBy("key", "slice").agg(F.max("end").alias("end"))  # one at most isn't null
-        before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-        far = ends.withColumn("far", F.last("end", ignorenulls=True).over(before)).where("far is not null").select("key", "slice", "far")
-        found = near.join(far, ["key", "slice"], "left").withColumn("v", F.coalesce("near", "far"))
-    return found.select("req_id", "key", "snapshot_ts", F.col("v.op").alias("op"), F.col("v.value").alias("value"), F.col("v.commit_ts").alias("commit_ts"))
+        at_ = [*place, "slice"]
+        ends = versions_.groupBy(at_).agg(F.max_by("v", F.struct("commit_ts", "seq")).alias("end")).unionByName(marks.select(at_).distinct(), allowMissingColumns=True)
+        ends = ends.groupBy(at_).agg(F.max("end").alias("end"))  # one at most isn't null
+        before = Window.partitionBy(place).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        far = ends.withColumn("far", F.last("end", ignorenulls=True).over(before)).where("far is not null").select(*at_, "far")
+        found = near.join(far, at_, "left").withColumn("v", F.coalesce("near", "far"))
+    return found.select("req_id", *place, "snapshot_ts", F.col("v.op").alias("op"), F.col("v.value").alias("value"), F.col("v.commit_ts").alias("commit_ts"))
+
+
+def ranks(log: DataFrame) -> DataFrame:
+    """Every version with its rank in its key: 0 is the newest."""
+    order = Window.partitionBy("cf", "key").orderBy(F.desc("commit_ts"), F.desc("seq"))
+    return log.select("cf", "key", "commit_ts", "seq", "op", (F.row_number().over(order) - 1).alias("rank"))
+
+
+def in_order(log: DataFrame) -> DataFrame:
+    """Versions as runs and compaction lay them down: by family and key, newest first, range by range, without one total sort."""
+    return log.repartitionByRange("cf", "key").sortWithinPartitions("cf", "key", F.desc("commit_ts"), F.desc("seq"))
+
+
+def recent(log: DataFrame, n: int = 100) -> DataFrame:
+    """The last n operations, latest first."""
+    return log.select("cf", "key", "commit_ts", "seq", "op").orderBy(F.desc("commit_ts"), F.desc("seq"), "cf", "key").limit(n)
