@@ -1,7 +1,10 @@
 import base64
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.functions import hashing
 from tidemark.operators import storage, versions
 from tidemark.sources import native
 
@@ -29,19 +32,107 @@ def test_inspect(spark, tmp_path):
 
 
 def test_vlog(spark, tmp_path):
-    values = [bytes(range(100)), b"z" * 200, b""]
-    (tmp_path / "v.log").write_bytes(native.encode_vlog(values) + b"\x00\x01")
+    values = [bytes(range(100)), b"z" * 200, b"", b"end"]
+    data = bytearray(native.encode_vlog(values))
+    (tmp_path / "v.log").write_bytes(data + b"\x00\x01")
     rows = native.read_vlog(spark, str(tmp_path)).orderBy("offset").collect()
-    assert [(r.offset, r["size"], bytes(r.value)) for r in rows] == [(8, 100, values[0]), (116, 200, values[1]), (324, 0, b"")]
+    assert [(r.offset, r["size"], bytes(r.value)) for r in rows] == [(8, 100, values[0]), (116, 200, values[1]), (324, 0, b""), (332, 3, b"end")]
+    data[130] ^= 1  # the second is damaged; those after it can be read
+    assert [(o, n) for o, n, _ in native.decode_vlog(bytes(data))] == [(8, 100), (324, 0), (332, 3)]
     with pytest.raises(native.Corrupt):
         list(native.decode_vlog(b"nope1234"))
 
 
+def test_pointers(spark):
+    assert native.decode_pointer(native.encode_pointer(8, 100)) == (8, 100) and native.decode_pointer(b"short") is None
+    stored = [native.encode_pointer(2**40, 2**32 - 1), b"hello world!", b"\xff" * 12, b"short", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(stored)], "i int, v binary")
+    got = [(r.o, r.s) for r in df.select("i", native.pointer_offset(F.col("v")).alias("o"), native.pointer_size(F.col("v")).alias("s")).orderBy("i").collect()]
+    assert got[0] == (2**40, 2**32 - 1) and got[1][0] == int.from_bytes(b"hello wo", "big") and got[2][0] is None and got[3:] == [(None, None)] * 2
+
+
 def test_table(spark, tmp_path):
-    entries = [(b"key%d" % i, 100 + i, b"v" * i) for i in range(50)]
+    entries = [(b"key%03d" % i, 100 - j, b"v" * i) for i in range(50) for j in range(2)]
     (tmp_path / "t.sst").write_bytes(native.encode_table(entries, 200))
+    (tmp_path / "u.sst").write_bytes(native.encode_table([]))
     rows = native.read_table(spark, str(tmp_path)).collect()
     assert sorted((bytes(r.key), r.commit_ts, bytes(r.value)) for r in rows) == sorted(entries)
+    info = {r.path.rsplit("/", 1)[1]: r for r in native.table_info(spark, str(tmp_path)).collect()}
+    assert (info["t.sst"].n_entries, bytes(info["t.sst"].min_key), bytes(info["t.sst"].max_key)) == (100, b"key000", b"key049") and info["t.sst"].n_blocks > 9
+    assert (info["u.sst"].n_entries, bytes(info["u.sst"].min_key), info["u.sst"].bits) == (0, b"", [])
+    with pytest.raises(native.Corrupt):
+        native.table_bounds(lambda at, n: bytes(n), 100)
+
+
+def test_filter_of_a_table(spark, tmp_path):
+    """The bits in the file are those of the column functions; keys of the table pass, most others don't."""
+    keys = [f"key{i}" for i in range(100)]
+    (tmp_path / "t.sst").write_bytes(native.encode_table([(k.encode(), 5, b"v") for k in sorted(keys)]))
+    (bits,) = [r.bits for r in native.table_info(spark, str(tmp_path)).collect()]
+    named = spark.createDataFrame([("t", k) for k in keys], "file string, key string")
+    assert [r.bits for r in hashing.filter_bits(named, ["file"]).collect()] == [bits]
+    asked = spark.createDataFrame([(k,) for k in [*keys, *(f"other{i}" for i in range(1000))]], "key string")
+    passed = [r.key for r in asked.where(hashing.may_contain(F.array(*map(F.lit, bits)), F.col("key"))).collect()]
+    assert set(keys) <= set(passed) and len(passed) < 150
+    df = spark.createDataFrame([("",), ("a",), ("foobar",), ("é",)], "k string")
+    assert [r.b for r in df.select(hashing.bloom_positions(F.col("k")).alias("b")).collect()] == [hashing.bloom_bits_of(k.encode()) for k in ("", "a", "foobar", "é")]
+
+
+def test_files_are_cut_into_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(native, "RANGE_BYTES", 500)
+    monkeypatch.setattr(native, "BATCH_ROWS", 7)
+    values = [b"v%d" % i * (i % 9) for i in range(200)]
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "vlog.db").write_bytes(native.encode_vlog(values))
+    read = native.read_vlog(spark, str(tmp_path / "v"))
+    assert [bytes(r.value) for r in read.orderBy("offset").collect()] == values and read.rdd.getNumPartitions() > 3
+    wal = b"".join(native.encode_wal(native.PUT, i + 1, b"k%d" % i, v) for i, v in enumerate(values))
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "wal.log").write_bytes(wal)
+    rows = native.read_wal(spark, str(tmp_path / "w")).orderBy("record").collect()
+    assert [bytes(r.value) for r in rows] == values and [r.commit_ts for r in rows] == list(range(1, 201))
+    (tmp_path / "w" / "wal.log").write_bytes(wal[:-2])
+    with pytest.raises(Exception, match="cut off in a record"):
+        native.read_wal(spark, str(tmp_path / "w")).count()
+    entries = [(b"k%04d" % i, 9, v) for i, v in enumerate(values)]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "000001.sst").write_bytes(native.encode_table(entries, 100))
+    read = native.read_table(spark, str(tmp_path / "t"))
+    assert sorted((bytes(r.key), bytes(r.value)) for r in read.collect()) == [(k, v) for k, _, v in entries] and read.rdd.getNumPartitions() > 3
+
+
+def test_a_store_folder_of_hand_made_files(spark, tmp_path):
+    """Two families with the same keys: tables, one of them no longer live, a log with a batch, pointers, and 12 bytes that are no pointer."""
+    big = [b"B" * 100, b"C" * 70]
+    for cf in ("default", "more"):
+        at = tmp_path / cf
+        at.mkdir()
+        at.joinpath("vlog.db").write_bytes(native.encode_vlog(big if cf == "default" else [b"M" * 80]))
+    at = tmp_path / "default"
+    at.joinpath("000001.sst").write_bytes(native.encode_table([(b"a", 5, native.encode_pointer(8, 100)), (b"a", 3, b"old"), (b"b", 4, b""), (b"t", 2, b"hello world!")]))
+    at.joinpath("000002.sst").write_bytes(native.encode_table([(b"zz", 9, b"not live")]))
+    file = lambda n: {"file_num": n, "level": 0, "min_key": "YQ==", "max_key": "eg==", "size": 1}
+    at.joinpath("MANIFEST").write_text(native.encode_manifest([{"new_files": [file(1), file(2)], "next_file_num": 3}, {"deleted_files": [{"file_num": 2, "level": 0}], "next_file_num": 3}]))
+    batch = native.encode_batch([(native.PUT, b"c", b"first"), (native.PUT, b"c", native.encode_pointer(116, 70)), (native.DELETE, b"t", b"")])
+    at.joinpath("wal.log").write_bytes(native.encode_wal(native.PUT, 5, b"a", native.encode_pointer(8, 100)) + native.encode_wal(native.BATCH, 7, b"", batch))
+    (tmp_path / "more" / "wal.log").write_bytes(native.encode_wal(native.PUT, 6, b"a", native.encode_pointer(8, 80)) + native.encode_wal(native.PUT, 8, b"w", b"hello world!"))
+    log = native.read_store(spark, str(tmp_path))
+    got = {(r.cf, bytes(r.key).decode(), r.commit_ts, r.op, r.value and bytes(r.value)) for r in log.collect()}
+    assert got == {
+        ("default", "a", 5, "PUT", big[0]), ("default", "a", 3, "PUT", b"old"), ("default", "b", 4, "DELETE", None), ("default", "t", 2, "PUT", b"hello world!"),
+        ("default", "c", 7, "PUT", big[1]), ("default", "t", 7, "DELETE", None), ("more", "a", 6, "PUT", b"M" * 80), ("more", "w", 8, "PUT", b"hello world!"),
+    }
+    assert log.count() == len(got) and native.families(spark, str(tmp_path / "none")) == ["default"]
+
+
+def test_written_store_reads_back(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.choice(["default", "a/b"]), f"k{rng.randrange(40):02d}", ts, 0, *(("DELETE", None) if ts % 7 == 0 else ("PUT", "é" * rng.choice([1, 6, 33, 500])))) for ts in range(2, 300)]
+    log = spark.createDataFrame(rows, "cf string, key string, commit_ts long, seq int, op string, value string")
+    native.write_store(log, str(tmp_path / "s"), 200)
+    got = native.read_store(spark, str(tmp_path / "s")).selectExpr("cf", "string(key) key", "commit_ts", "seq", "op", "string(value) value").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows))
+    assert (tmp_path / "s" / "a%2Fb" / "wal.log").stat().st_size > 0
 
 
 def test_manifest_stops_at_the_first_bad_line(spark, tmp_path):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BITS, _PROBES, _FLIP = 8192, 10, 0xBC9F1D34
@@ -25,6 +25,30 @@ def bloom_positions(key: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(_PROBES - 1)), lambda i: F.pmod((first + i * first.bitwiseXOR(F.lit(_FLIP))).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(_BITS)))
 
 
+def filter_bits(keys: DataFrame, by: list[str], key: str = "key") -> DataFrame:
+    """The filter of each group (file, run) of keys: `bits`, the positions that any of its keys sets, at most 8192, in order."""
+    set_ = keys.select(*by, F.explode(bloom_positions(F.col(key))).alias("bit")).distinct()
+    return set_.groupBy(*by).agg(F.array_sort(F.collect_list("bit")).alias("bits"))
+
+
+def may_contain(bits: Column, key: Column) -> Column:
+    """Whether a filter lets a key through: all of the key's bits are set. A key that was put in always passes."""
+    return F.size(F.array_except(bloom_positions(key), bits)) == 0
+
+
+def fnv1a32_of(key: bytes) -> int:
+    """The same hash of one key, for writers of files."""
+    h = 2166136261
+    for b in key:
+        h = (h ^ b) * 16777619 & 0xFFFFFFFF
+    return h
+
+
+def bloom_bits_of(key: bytes) -> list[int]:
+    first = fnv1a32_of(key)
+    return [(first + i * (first ^ _FLIP) & 0xFFFFFFFF) % _BITS for i in range(_PROBES)]
+
+
 def inverted(ts: Column) -> Column:
     """Timestamps so that later ones sort first; its own inverse."""
     return F.lit(MAX_TS) - ts

@@ -1,22 +1,45 @@
-"""Readers of the embedded store's own files: write-ahead logs, value logs, tables and manifests.
-
-Each file is decoded by one task from the binary source; the rows are then an
-ordinary DataFrame. Encoders of the same layouts exist for tests and exports.
+"""The embedded store's own files: write-ahead logs, value logs, tables, manifests, and a whole store's folder.
+
+Files are cut at record or block borders into ranges of some `RANGE_BYTES`, and
+each range is read by offset and decoded by a task of its own, in batches of
+bounded size; no file is ever one value. A table's borders come from its index, those
+of a log from a pass over its headers. The rows are then an ordinary DataFrame.
+:func:`read_store` makes one version log of all families of a store's folder;
+:func:`write_store` lays such a folder down from a version log.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import struct
+import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import hashing
+from tidemark.functions.hashing import bloom_bits_of
+from tidemark.operators import storage, versions
+from tidemark.sources.shared import bounded, materialize, scratch
+
+for _module in (__name__, hashing.__name__):  # workers need not have this package
+    cloudpickle.register_pickle_by_value(sys.modules[_module])
+
 PUT, DELETE, BATCH = 1, 2, 3
 MAGIC, VERSION = struct.pack(">I", 0x53434F52), 1
-FOOTER = struct.Struct("<10Q")
+FOOTER, FOOTER_BYTES, TABLE_MAGIC = "<10Q", 80, 0x53434F5249415F53
+BLOCK_BYTES = 16 * 1024
+FILTER_BYTES = 1024
+POINTER, POINTER_BYTES = ">QI", 12
+#: Bytes of a file that one task decodes, but for the record that ends there.
+RANGE_BYTES = 64 << 20
+#: Rows and bytes of one batch from Python to the JVM.
+BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
 LATEST = 2**64 - 1
 _OPS = {PUT: "PUT", DELETE: "DELETE"}
 
@@ -69,52 +92,93 @@ def encode_vlog(values: list[bytes]) -> bytes:
 
 
 def decode_vlog(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """Values (offset, size, value) up to the first that is cut off or damaged."""
+    """Values (offset, size, value); damaged ones are left out, one that is cut off ends the log."""
     if data[:4] != MAGIC:
         raise Corrupt("not a value log")
     at = 8
     while at + 8 <= len(data):
         crc, size = struct.unpack_from(">II", data, at)
         value = data[at + 8 : at + 8 + size]
-        if len(value) < size or zlib.crc32(value) != crc:
+        if len(value) < size:
             return
-        yield at, size, value
+        if zlib.crc32(value) == crc:
+            yield at, size, value
         at += 8 + size
 
 
-def encode_table(entries: list[tuple[bytes, int, bytes]], block_bytes: int = 16384) -> bytes:
-    """A sorted table of (key, ts, value): blocks, index, filter, bounds and footer."""
-    out, index, block, first, at = [], [], b"", b"", 0
+def encode_pointer(offset: int, size: int) -> bytes:
+    return struct.pack(POINTER, offset, size)
+
+
+def decode_pointer(stored: bytes) -> tuple[int, int] | None:
+    """(offset, size) if the stored value has a pointer's length; an inline value may have it too."""
+    return struct.unpack(POINTER, stored) if len(stored) == POINTER_BYTES else None
+
 
-    def flush() -> None:
-        nonlocal block, at
-        if block:
-            index.append((first, at))
-            out.append(struct.pack("<I", len(block)) + block)
-            at += 4 + len(block)
-            block = b""
+def pointer_offset(stored: Column) -> Column:
+    """The offset that a stored value of a pointer's length names, null for others and where it is beyond any file."""
+    return F.when(F.octet_length(stored) == POINTER_BYTES, F.conv(F.hex(F.substring(stored, 1, 8)), 16, 10).try_cast("long"))
 
+
+def pointer_size(stored: Column) -> Column:
+    return F.when(F.octet_length(stored) == POINTER_BYTES, F.conv(F.hex(F.substring(stored, 9, 4)), 16, 10).try_cast("long"))
+
+
+def table_parts(entries: Iterable[tuple[bytes, int, bytes]], block_bytes: int = BLOCK_BYTES) -> Iterator[bytes]:
+    """A table of sorted (key, ts, value), piece by piece: blocks, index, filter, least and greatest key, footer."""
+    index: list[bytes] = []
+    bits, block, first, at, n = bytearray(FILTER_BYTES), bytearray(), b"", 0, 0
+    least = greatest = last = None
     for key, ts, value in entries:
+        n += 1
+        if key != last:
+            for b in bloom_bits_of(key):
+                bits[b >> 3] |= 1 << (b & 7)
+            least, greatest, last = key if least is None else min(least, key), key if greatest is None else max(greatest, key), key
         full = struct.pack("<H", len(key)) + key + struct.pack("<Q", LATEST - ts)
+        entry = struct.pack("<II", len(full), len(value)) + full + value
+        if block and len(block) + len(entry) > block_bytes:
+            index.append(struct.pack("<I", len(first)) + first + struct.pack("<Q", at))
+            yield struct.pack("<I", len(block)) + block
+            at, block = at + 4 + len(block), bytearray()
         if not block:
             first = full
-        block += struct.pack("<II", len(full), len(value)) + full + value
-        if len(block) >= block_bytes:
-            flush()
-    flush()
-    parts = [b"".join(struct.pack("<I", len(k)) + k + struct.pack("<Q", o) for k, o in index), struct.pack("<I", 1024) + bytes(1024), entries[0][0] if entries else b"", entries[-1][0] if entries else b""]
-    places = []
+        block += entry
+    if block:
+        index.append(struct.pack("<I", len(first)) + first + struct.pack("<Q", at))
+        yield struct.pack("<I", len(block)) + block
+        at += 4 + len(block)
+    named = [struct.pack("<I", len(x or b"")) + (x or b"") for x in (least, greatest)]
+    parts = [b"".join(index), struct.pack("<I", FILTER_BYTES) + bytes(bits), *named]
+    places = [at]
     for part in parts:
-        places += [at, len(part)]
-        out.append(part)
-        at += len(part)
-    return b"".join([*out, FOOTER.pack(*places, len(entries), VERSION)])
+        yield part
+        places.append(places[-1] + len(part))
+    yield struct.pack(FOOTER, places[0], len(parts[0]), places[1], len(parts[1]), n, TABLE_MAGIC, places[2], len(least or b""), places[3], len(greatest or b""))
 
 
-def decode_table(data: bytes) -> Iterator[tuple[bytes, int, bytes]]:
-    """Entries (key, ts, value); those that don't decode are skipped."""
-    places = FOOTER.unpack_from(data, len(data) - FOOTER.size)
-    at, end = 0, places[0]
+def encode_table(entries: Iterable[tuple[bytes, int, bytes]], block_bytes: int = BLOCK_BYTES) -> bytes:
+    return b"".join(table_parts(entries, block_bytes))
+
+
+def table_bounds(read: Callable[[int, int], bytes], length: int) -> dict:
+    """What a table tells of itself: number of entries, least and greatest key, filter, blocks' offsets and where the data end."""
+    if length < FOOTER_BYTES:
+        raise Corrupt("no footer")
+    index, index_size, bloom, bloom_size, n, magic, least, least_size, greatest, greatest_size = struct.unpack(FOOTER, read(length - FOOTER_BYTES, FOOTER_BYTES))
+    if magic != TABLE_MAGIC:
+        raise Corrupt("not a table")
+    data, at, blocks = read(index, index_size), 0, []
+    while at < len(data):
+        (k,) = struct.unpack_from("<I", data, at)
+        blocks.append(struct.unpack_from("<Q", data, at + 4 + k)[0])
+        at += 12 + k
+    return {"n": n, "least": read(least + 4, least_size), "greatest": read(greatest + 4, greatest_size), "filter": read(bloom + 4, bloom_size - 4), "blocks": blocks, "end": index}
+
+
+def decode_blocks(data: bytes) -> Iterator[tuple[bytes, int, bytes]]:
+    """Entries (key, ts, value) of blocks that follow each other; those that don't decode are skipped."""
+    at, end = 0, len(data)
     while at + 4 <= end:
         (size,) = struct.unpack_from("<I", data, at)
         block, at = data[at + 4 : min(end, at + 4 + size)], at + 4 + size
@@ -130,38 +194,163 @@ def decode_table(data: bytes) -> Iterator[tuple[bytes, int, bytes]]:
                 yield full[2 : 2 + n], LATEST - struct.unpack_from("<Q", full, 2 + n)[0], value
 
 
-def _decoded(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def decode_table(data: bytes) -> Iterator[tuple[bytes, int, bytes]]:
+    return decode_blocks(data[: table_bounds(lambda at, n: data[at : at + n], len(data))["end"]])
+
+
+class _Input:
+    """A file read by offset, with a window for small reads that follow each other."""
+
+    WINDOW = 1 << 20
+
+    def __init__(self, path: str):
+        from pyarrow import fs
+
+        if path.startswith("file:") or path.startswith("/"):
+            where, at = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+        else:
+            where, at = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+        self.file, self.begin, self.data = where.open_input_file(at), 0, b""
+
+    def __call__(self, at: int, n: int) -> bytes:
+        if n > self.WINDOW:
+            return self.file.read_at(n, at)
+        if not (self.begin <= at and at + n <= self.begin + len(self.data)):
+            self.begin, self.data = at, self.file.read_at(self.WINDOW, at)
+        return self.data[at - self.begin : at - self.begin + n]
+
+    def __enter__(self) -> _Input:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
+
+def _gathered(ends: Iterable[int], begin: int, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at least `limit` bytes, but for the last, that end at given borders."""
+    end = begin
+    for end in ends:
+        if end - begin >= limit:
+            yield begin, end
+            begin = end
+    if end > begin:
+        yield begin, end
+
+
+def _wal_ends(read, length: int) -> Iterator[int]:
+    at, head = 0, struct.Struct(">BQHI")
+    while at < length:
+        if at + head.size > length:
+            raise Corrupt("cut off in a header")
+        _, _, k, v = head.unpack(read(at, head.size))
+        at += head.size + k + v + 4
+        if at > length:
+            raise Corrupt("cut off in a record")
+        yield at
+
+
+def _vlog_ends(read, length: int) -> Iterator[int]:
+    if length < 8 or read(0, 4) != MAGIC:
+        raise Corrupt("not a value log")
+    at = 8
+    while at + 8 <= length:
+        at += 8 + struct.unpack(">I", read(at + 4, 4))[0]
+        if at > length:
+            return
+        yield at
+
+
+def _table_ends(read, length: int) -> Iterator[int]:
+    bounds = table_bounds(read, length)
+    yield from [b for b in (*bounds["blocks"], bounds["end"]) if b > 0]
+
+
+def _wal_rows(data: bytes, begin: int) -> Iterator[tuple]:
+    at = begin
+    for op, ts, key, value in decode_wal(data):
+        for seq, (o, k, v) in enumerate(decode_batch(value) if op == BATCH else [(op, key, value)]):
+            yield at, ts, seq, _OPS[o], k, v if o == PUT else None
+        at += 19 + len(key) + len(value)
+
+
+def _vlog_rows(data: bytes, begin: int) -> Iterator[tuple]:
+    for offset, size, value in decode_vlog(MAGIC + bytes(4) + data):
+        yield offset + begin - 8, size, value
+
+
+#: For each kind of file: where records begin, the borders between them, rows of a range, their schema.
+_KINDS = {
+    "wal": (0, _wal_ends, _wal_rows, "record long, commit_ts long, seq int, op string, key binary, value binary"),
+    "vlog": (8, _vlog_ends, _vlog_rows, "offset long, size long, value binary"),
+    "table": (0, _table_ends, lambda data, _: decode_blocks(data), "key binary, commit_ts long, value binary"),
+}
 
-    def run(batches):
-        import pandas as pd
 
+def _decoded(spark: SparkSession, paths: str | list[str], kind: str) -> DataFrame:
+    import pyarrow as pa
+
+    first, ends, rows, columns = _KINDS[kind]
+    limit, most_rows, most_bytes = RANGE_BYTES, BATCH_ROWS, BATCH_BYTES
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")
+
+    def ranges(batches):
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                rows = [(name, *r) for r in decode(bytes(content))]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            for path, length in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                with _Input(path) as read:
+                    for b, e in _gathered(ends(read, length), first, limit):
+                        yield pa.RecordBatch.from_pydict({"path": [path], "begin": [b], "end": [e]})
+
+    schema = spark.createDataFrame([], f"path string, {columns}").schema
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return files.mapInPandas(run, schema)
+    arrow = to_arrow_schema(schema)
 
+    def decode(batches):
+        for batch in batches:
+            for path, b, e in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                with _Input(path) as read:
+                    data = read(b, e - b)
+                held, size = [], 0
+                for row in rows(data, b):
+                    held.append((path, *row))
+                    size += sum(len(x) for x in row if isinstance(x, bytes))
+                    if len(held) >= most_rows or size >= most_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), arrow.types)], schema=arrow)
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), arrow.types)], schema=arrow)
+
+    cut = materialize(files.mapInArrow(ranges, "path string, begin long, end long"), "ranges")
+    return cut.repartition(max(1, min(cut.count(), 100_000)), "path", "begin").mapInArrow(decode, schema)
 
-def read_wal(spark: SparkSession, path: str) -> DataFrame:
-    """Records as (ts, ops), as storage.replay takes them; keys and values are bytes."""
 
-    def decode(data: bytes):
-        for i, (op, ts, key, value) in enumerate(decode_wal(data)):
-            ops = decode_batch(value) if op == BATCH else [(op, key, value)]
-            for seq, (o, k, v) in enumerate(ops):
-                yield i, ts, seq, _OPS[o], k, v if o == PUT else None
+def read_wal(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every op as a row: path, record (its offset), commit_ts, seq in a batch, op; keys and values are bytes. A cut-off or damaged record is an error."""
+    return _decoded(spark, path, "wal")
 
-    return _decoded(spark, path, decode, "path string, record long, ts long, seq int, op string, key binary, value binary").withColumnRenamed("ts", "commit_ts")
 
+def read_vlog(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return _decoded(spark, path, "vlog")
 
-def read_vlog(spark: SparkSession, path: str) -> DataFrame:
-    return _decoded(spark, path, decode_vlog, "path string, offset long, size long, value binary")
 
+def read_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return _decoded(spark, path, "table")
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return _decoded(spark, path, decode_table, "path string, key binary, commit_ts long, value binary")
+
+def table_info(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """What each table's footer, index and filter say, without its data: path, n_entries, min_key, max_key, n_blocks, and the filter's bits as positions."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for path, length in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                with _Input(path) as read:
+                    t = table_bounds(read, length)
+                bits = [8 * i + j for i, byte in enumerate(t["filter"]) for j in range(8) if byte >> j & 1]
+                yield pa.RecordBatch.from_pydict({"path": [path], "n_entries": [t["n"]], "min_key": [t["least"]], "max_key": [t["greatest"]], "n_blocks": [len(t["blocks"])], "bits": [bits]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    return files.mapInArrow(run, "path string, n_entries long, min_key binary, max_key binary, n_blocks long, bits array<long>")
 
 
 def inspect(spark: SparkSession, path: str) -> DataFrame:
@@ -188,3 +377,192 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def encode_manifest(edits: list[dict]) -> str:
     return "".join(json.dumps(e) + "\n" for e in edits)
+
+
+# a whole store
+
+WAL, VLOG, MANIFEST = "wal.log", "vlog.db", "MANIFEST"
+VERSIONS = "cf string, key binary, commit_ts long, seq int, op string, value binary"
+
+
+def _files(spark: SparkSession, root: str):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def families(spark: SparkSession, root: str) -> list[str]:
+    """The families of a store's folder: one a folder in it, and the default one."""
+    files, path = _files(spark, root)
+    found = {s.getPath().getName() for s in files.listStatus(path(root)) if s.isDirectory()} if files.exists(path(root)) else set()
+    return sorted(unquote(f) for f in found | {versions.DEFAULT})
+
+
+def resolved(stored: DataFrame, vlog: DataFrame) -> DataFrame:
+    """Versions whose stored value has a pointer's length, with the value that it names; where it names none it is the value itself.
+
+    Only pointers are joined; they are broadcast if few, so that the value log stays where it is.
+    """
+    short = stored.where(F.octet_length("value") == POINTER_BYTES).withColumn("offset", pointer_offset(F.col("value"))).withColumn("size", pointer_size(F.col("value")))
+    short = materialize(short, "pointers")
+    named = vlog.select("offset", "size", F.col("value").alias("named")).join(bounded(short.select("offset", "size").where("size > 0").distinct()), ["offset", "size"], "left_semi")
+    found = short.join(named, ["offset", "size"], "left").withColumn("value", F.coalesce("named", "value")).select(stored.columns)
+    return stored.where(F.coalesce(F.octet_length("value"), F.lit(0)) != POINTER_BYTES).unionByName(found)
+
+
+def read_family(spark: SparkSession, root: str, cf: str) -> DataFrame:
+    """All versions of one family: the write-ahead log, the live tables of the manifest (all, if there is none) and the value log as one version log.
+
+    A version that is in the log and in a table counts once; of a batch's ops on
+    a key the last counts.
+    """
+    files, path = _files(spark, root)
+    at = f"{root}/{quote(cf, safe='')}"
+    there = lambda name: files.exists(path(f"{at}/{name}"))
+    names = [s.getPath().getName() for s in files.listStatus(path(at))] if files.exists(path(at)) else []
+    tables = [n for n in names if n.endswith(".sst")]
+    if there(MANIFEST):
+        live = {r.file_num for r in storage.manifest_files(read_manifest(spark, f"{at}/{MANIFEST}")).select("file_num").collect()}  # a row a file
+        tables = [n for n in tables if int(n[:-4]) in live]
+    log = spark.createDataFrame([], VERSIONS).drop("cf")
+    if there(WAL):
+        log = log.unionByName(read_wal(spark, f"{at}/{WAL}").select("key", "commit_ts", "seq", "op", "value"))
+    if tables:
+        rows = read_table(spark, [f"{at}/{n}" for n in tables])
+        live_ = F.octet_length("value") > 0
+        log = log.unionByName(rows.select("key", "commit_ts", F.lit(0).alias("seq"), F.when(live_, "PUT").otherwise("DELETE").alias("op"), F.when(live_, F.col("value")).alias("value")))
+    one = log.groupBy("key", "commit_ts").agg(F.max_by(F.struct("op", "value"), "seq").alias("v")).select("key", "commit_ts", F.lit(0).alias("seq"), "v.op", "v.value")
+    if there(VLOG):
+        one = resolved(one, read_vlog(spark, f"{at}/{VLOG}"))
+    return one.select(F.lit(cf).alias("cf"), "key", "commit_ts", "seq", "op", "value")
+
+
+def read_store(spark: SparkSession, root: str) -> DataFrame:
+    """A store's folder as one version log (keys and values are bytes), family by family."""
+    log = spark.createDataFrame([], VERSIONS)
+    for cf in families(spark, root):
+        log = log.unionByName(read_family(spark, root, cf))
+    return log
+
+
+def _concatenated(spark: SparkSession, parts: list[str], target: str, head: bytes) -> None:
+    """Part files one after another in one file, streamed piece by piece: the layout has a single value log and a single write-ahead log a family."""
+    files, path = _files(spark, target)
+    out = files.create(path(target), True)
+    out.write(bytearray(head))
+    jvm = spark.sparkContext._jvm
+    for part in parts:
+        stream = files.open(path(part))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+        stream.close()
+    out.close()
+
+
+def write_store(log: DataFrame, root: str, in_tables_to: int | None = None) -> None:
+    """Lays a version log down as a store's folder: sorted tables, value logs and manifests, and what is later than `in_tables_to` in write-ahead logs.
+
+    Tables are written by as many tasks as there are key ranges, value logs in
+    parts by tasks too. Keys and values may be text or bytes. The folder is one
+    that executors and driver share.
+    """
+    spark = log.sparkSession
+    log = versions.normalized(log).select("cf", F.col("key").cast("binary").alias("key"), "commit_ts", "seq", "op", F.col("value").cast("binary").alias("value"))
+    files, path = _files(spark, root)
+    for (cf,) in log.select("cf").distinct().collect():  # a row a family
+        own, at, parts = log.where(F.col("cf") == cf), f"{root}/{quote(cf, safe='')}", scratch(spark, "native")
+        for folder in (at, parts):
+            files.mkdirs(path(folder))
+        own = own.groupBy("key", "commit_ts").agg(F.max_by(F.struct("op", "value"), "seq").alias("v")).select("key", "commit_ts", "v.op", "v.value")
+        big = own.where(storage.placement(F.col("value")) == "pointer")
+        big = storage.laid_out(big.select(F.struct("commit_ts", "key").alias("place"), "key", "commit_ts", "value", F.octet_length("value").cast("long").alias("size")), "place")
+        placed = materialize(own.join(big.select("key", "commit_ts", "offset", "size"), ["key", "commit_ts"], "left"), "stored")
+        chunks = big.select("offset", "value").repartitionByRange("offset").sortWithinPartitions("offset").mapInArrow(_part_writer(parts, "vlog", _vlog_bytes), "first long, path string").sort("first").collect()
+        _concatenated(spark, [r.path for r in chunks], f"{at}/{VLOG}", MAGIC + struct.pack(">I", VERSION))
+        pointer = F.unhex(F.concat(F.lpad(F.hex("offset"), 16, "0"), F.lpad(F.hex("size"), 8, "0")))
+        stored = placed.select("key", "commit_ts", "op", F.when(F.col("size").isNotNull(), pointer).otherwise(F.col("value")).alias("value"))
+        old = stored if in_tables_to is None else stored.where(F.col("commit_ts") <= in_tables_to)
+        runs = old.repartitionByRange("key").sortWithinPartitions("key", F.desc("commit_ts")).mapInArrow(_table_writer(at), "file_num long, min_key binary, max_key binary, size long").sort("file_num").collect()
+        edits = [{"new_files": [{"file_num": r.file_num, "level": 0, "min_key": base64.b64encode(r.min_key).decode(), "max_key": base64.b64encode(r.max_key).decode(), "size": r["size"]}], "next_file_num": r.file_num + 1} for r in runs]
+        out = files.create(path(f"{at}/{MANIFEST}"), True)
+        out.write(bytearray(encode_manifest(edits).encode()))
+        out.close()
+        late = [] if in_tables_to is None else stored.where(F.col("commit_ts") > in_tables_to).repartitionByRange("commit_ts").sortWithinPartitions("commit_ts").select("commit_ts", "key", "op", "value")
+        chunks = late and late.mapInArrow(_part_writer(parts, "wal", _wal_bytes), "first long, path string").sort("first").collect()
+        _concatenated(spark, [r.path for r in chunks], f"{at}/{WAL}", b"")
+
+
+def _vlog_bytes(row: tuple) -> bytes:
+    return struct.pack(">II", zlib.crc32(row[1]), len(row[1])) + row[1]
+
+
+def _wal_bytes(row: tuple) -> bytes:
+    ts, key, op, value = row
+    return encode_wal(PUT if op == "PUT" else DELETE, ts, key, value or b"")
+
+
+def _rows_of(batches) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def _writer(path: str):
+    from pyarrow import fs
+
+    where, at = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if path.startswith(("/", "file:")) else fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return where.open_output_stream(at)
+
+
+def _part_writer(folder: str, name: str, encode: Callable[[tuple], bytes]):
+    """Writes a partition's records to a file of its own: its first place and its path. A retried task's file has another name."""
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+
+        rows = _rows_of(batches)
+        row = next(rows, None)
+        if row is None:
+            return
+        first, path = row[0], f"{folder}/{name}-{uuid.uuid4().hex}"
+        with _writer(path) as out:
+            while row is not None:
+                out.write(encode(row))
+                row = next(rows, None)
+        yield pa.RecordBatch.from_pydict({"first": [first], "path": [path]})
+
+    return run
+
+
+def _table_writer(folder: str):
+    """Writes a sorted partition as a table; its number is that of the partition, so that a retry replaces the file."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() + 1
+        seen = [None, None]
+
+        def entries():
+            for key, ts, op, value in _rows_of(batches):
+                seen[0] = key if seen[0] is None else seen[0]
+                seen[1] = key
+                yield key, ts, value if op == "PUT" else b""
+
+        rows, size = entries(), 0
+        first = next(rows, None)
+        if first is None:
+            return
+        with _writer(f"{folder}/{number:06d}.sst") as out:
+            for part in table_parts(_chained(first, rows)):
+                out.write(part)
+                size += len(part)
+        yield pa.RecordBatch.from_pydict({"file_num": [number], "min_key": [seen[0]], "max_key": [seen[1]], "size": [size]})
+
+    return run
+
+
+def _chained(first: tuple, rest: Iterator[tuple]) -> Iterator[tuple]:
+    yield first
+    yield from rest
