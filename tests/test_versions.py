@@ -59,6 +59,44 @@ def test_reads_equal_the_model(spark, seed):
         )
 
 
+def test_families_are_keyspaces_of_their_own(spark):
+    log = spark.createDataFrame([("a", "k", 5, 0, "PUT", "of a"), ("b", "k", 9, 0, "PUT", "of b"), ("default", "k", 7, 0, "PUT", "of default")], LOG)
+    asked = spark.createDataFrame([(1, "a", "k", 10), (2, "b", "k", 8), (3, "b", "k", 9), (4, None, "k", 10), (5, "", "k", 6), (None, "a", "k", 10), (None, "b", "none", 10)], "req_id long, cf string, key string, snapshot_ts long")
+    want = sorted([(1, "a", "of a"), (2, "b", None), (3, "b", "of b"), (4, "default", "of default"), (5, "default", None), (None, "a", "of a"), (None, "b", None)], key=str)
+    for n, width in ((None, 1), (1 << 40, 3), (None, 1 << 20)):
+        assert sorted(((r.req_id, r.cf, r.value) for r in versions.as_of(log, asked, n, width).collect()), key=str) == want
+    assert [r.value for r in versions.as_of(log, asked.drop("cf").where("req_id = 1")).collect()] == ["of default"]
+    pending = spark.createDataFrame([(20, 6, "a", "k", 0, "PUT", "x"), (21, 6, "b", "k", 0, "PUT", "y"), (22, 6, "", "k", 0, "PUT", "z")], "txn_id long, start_ts long, cf string, key string, seq int, op string, value string")
+    assert {(r.txn_id, r.cf, r.commit_ts) for r in writes.conflicts(log, pending).collect()} == {(21, "b", 9), (22, "default", 7)}
+    assert [r.txn_id for r in writes.clean(log, pending).collect()] == [20]
+    reads = spark.createDataFrame([(20, 6, "a", "k"), (20, 6, "b", "k"), (22, 7, None, "k"), (20, 7, "default", "k")], "txn_id long, start_ts long, cf string, key string")
+    got = {(r.txn_id, r.cf): (r.value, r.source) for r in writes.overlay(log, pending, reads).collect()}
+    assert got == {(20, "a"): ("x", "pending"), (20, "b"): (None, "none"), (22, "default"): ("z", "pending"), (20, "default"): ("of default", "snapshot")}
+
+
+def test_http_answers_in_pages(spark):
+    import json
+
+    rows = spark.createDataFrame([(f"k{i:03d}", f"v{i}") for i in range(45)], "key string, value string").repartition(5)
+    pages = {r.page: json.loads(r.body) for r in scan.as_json(rows, "k", "mine", page=20).collect()}
+    assert [len(pages[i]["items"]) for i in range(3)] == [20, 20, 5] and pages[1]["items"][0] == {"key": "k020", "value": "v20"}
+    assert [json.loads(r.body) for r in scan.as_json(rows.limit(0), "x").collect()] == [{"cf": "default", "prefix": "x", "items": []}]
+
+
+def test_subscribers_keep_their_own_places(spark, tmp_path):
+    log_of(spark, random_rows(2)).write.parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    sinks = [(str(tmp_path / f"out{i}"), str(tmp_path / f"cp{i}")) for i in range(2)]
+    for q in feed.subscribe(feed.changes(feed.with_source(stream)), sinks):
+        q.awaitTermination()
+    log_of(spark, [("late", 99, 0, "x")]).write.mode("append").parquet(str(tmp_path / "log"))
+    for q in feed.subscribe(feed.changes(feed.with_source(stream)), sinks[:1]):
+        q.awaitTermination()
+    n = len(random_rows(2))
+    assert [spark.read.parquet(path).count() for path, _ in sinks] == [n + 1, n]
+    assert spark.read.parquet(sinks[0][0]).select("source").distinct().count() == 1
+
+
 def test_safe_compaction_changes_no_later_read(spark):
     rows = random_rows(5)
     log = log_of(spark, rows)

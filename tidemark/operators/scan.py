@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import versions
+from tidemark.sources.shared import materialize
 
-DEFAULT = "default"
+DEFAULT = versions.DEFAULT
 SYSTEM = ("__auth__", "__meta__", "__keyspace__")
 
 
@@ -59,6 +60,27 @@ def stats(log: DataFrame) -> DataFrame:
     return versions.latest(log).groupBy("cf").agg(F.count("*").alias("n_keys"))
 
 
+def total(rows: DataFrame) -> DataFrame:
+    """How many rows a scan has."""
+    return rows.agg(F.count("*").alias("total"))
+
+
+def as_json(rows: DataFrame, prefix: str = "", cf: str = DEFAULT, page: int = 1000) -> DataFrame:
+    """A scan's answer over HTTP, {cf, prefix, items: [{key, value}]}, in order of keys, in pages of so many items.
+
+    A scan that fits a page is one line, an empty one too; a larger one is several, numbered, so that no
+    task holds all items. Items are numbered over range partitions, whose counts are a small table.
+    """
+    ranged = materialize(rows.select("key", "value").repartitionByRange("key").withColumn("part", F.spark_partition_id()), "page")
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = ranged.join(F.broadcast(before), "part").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1)
+    pages = placed.groupBy(F.expr(f"place div {page}").alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "key", "value"))), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))).alias("items"))
+    none = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("page"))
+    answer = F.to_json(F.struct(F.lit(family(cf)).alias("cf"), F.lit(prefix).alias("prefix"), F.coalesce("items", F.array().cast("array<struct<key:string,value:string>>")).alias("items")))
+    return pages.join(none, "page", "full").select("page", answer.alias("body"))
+
+
 def as_tsv(rows: DataFrame) -> DataFrame:
     """Scanned rows as lines: key, tab, value."""
     return rows.select(F.concat_ws("\t", "key", "value").alias("line"))

@@ -78,6 +78,17 @@ def inspect_levels(files: DataFrame) -> DataFrame:
     return totals.select(F.coalesce(F.col("level").cast("string"), F.lit("total")).alias("level"), "n_files", "n_bytes")
 
 
+def in_level_order(files: DataFrame) -> DataFrame:
+    """Files level by level, each level by least key, as a lookup goes through them."""
+    return files.orderBy("level", "min_key", "file_num")
+
+
+def level_places(files: DataFrame) -> DataFrame:
+    """Each file's place in its level in that order, from 0."""
+    order = Window.partitionBy("level").orderBy("min_key", "file_num")
+    return files.select("level", "file_num", (F.row_number().over(order) - 1).alias("place"))
+
+
 def may_hold(files: DataFrame, key: str) -> DataFrame:
     """Files whose key range holds a key."""
     return files.where((F.col("min_key") <= key) & (F.col("max_key") >= key))

@@ -26,6 +26,13 @@ _USERS = """users as (select lower(trim(c_name)) as username, case c_mktsegment
   when 'HOUSEHOLD' then 'readwrite,readonly' else '' end as roles, c_custkey + 1700000000 as created_at from customer where c_custkey % 50 <> 49)"""
 
 
+_FAMILIES = f"""{_EVENTS}, {_ORDERS}, kv_families as (select * from kv_events union all select 'mirror', key, commit_ts * 2 - 1, seq, op, case when value is not null then concat('m', value) end from kv_events union all select * from kv_orders)"""
+_CF = "case when {0} % 3 <> 0 and {0} % 2 = 0 then 'mirror' else 'default' end as cf"
+_BITS = """k as (select distinct key from kv_events),
+  h as (select key, list_reduce(list_prepend(cast(2166136261 as bigint), [cast(ascii(c) as bigint) for c in string_split(key, '')]), lambda a, b: (xor(a, b) * 16777619) & 4294967295) as fnv1a32 from k),
+  bits as (select key, fnv1a32, [((fnv1a32 + i * xor(fnv1a32, cast(3164544308 as bigint))) & 4294967295) % 8192 for i in range(10)] as bits from h)"""
+
+
 def _newest(log: str, where: str = "true") -> str:
     """Ranked versions of a log; rank 1 is the newest."""
     return f"""ranked as (select cf, key, commit_ts, seq, case when op = 'PUT' and strlen(value) > 0 then 'PUT' else 'DELETE' end as op, case when op = 'PUT' and strlen(value) > 0 then value end as value,
@@ -77,7 +84,7 @@ ORACLE_SQL: dict[str, str] = {
     "cf_batch_apply": _with(
         _ALL, _BATCH, "both_ as (select * from kv_all union all select case when seq % 3 = 0 then 'orders' else 'default' end, key, (select max(commit_ts) + 1 from kv_all), seq, op, value from batch)", _newest("both_")
     )
-    + " select cf, key, value, commit_ts from live where cf <> 'docs'",
+    + " select cf, key, value, commit_ts from live",
     "txn_overlay_read": _with(_EVENTS, _WRITES)
     + """, r as (select event_id as txn_id, event_id + 2 - 40 as start_ts, concat('user:', user_id + i) as key from events, (select unnest([0, 1, 2]) as i) where event_id % 97 = 0),
       s as (select txn_id, r.key, case when op = 'PUT' and strlen(value) > 0 then value end as value from r asof left join kv_events v on r.key = v.key and r.start_ts >= v.commit_ts)
@@ -120,6 +127,44 @@ ORACLE_SQL: dict[str, str] = {
     + """, k as (select distinct key from kv_events),
       h as (select key, list_reduce(list_prepend(cast(2166136261 as bigint), [cast(ascii(c) as bigint) for c in string_split(key, '')]), lambda a, b: (xor(a, b) * 16777619) & 4294967295) as fnv1a32 from k)
       select key, fnv1a32, array_to_string([((fnv1a32 + i * xor(fnv1a32, cast(3164544308 as bigint))) & 4294967295) % 8192 for i in range(10)], ',') as bits from h""",
+    "asof_get_cf": _with(_FAMILIES)
+    + f""", r as (select event_id as req_id, {_CF.format("event_id")}, concat('user:', (user_id * 7) % 200) as key, event_id as snapshot_ts from events where event_id % 50 = 0)
+      select req_id, r.cf, r.key, snapshot_ts, case when op = 'PUT' and strlen(value) > 0 then value end as value, commit_ts
+      from r asof left join kv_families v on r.cf = v.cf and r.key = v.key and r.snapshot_ts >= v.commit_ts""",
+    "txn_conflicts_cf": _with(_FAMILIES, _WRITES, f"w as (select *, {_CF.format('txn_id')} from txn_writes)")
+    + """ select txn_id, w.cf, w.key, max(commit_ts) as commit_ts from w join kv_families v on v.cf = w.cf and v.key = w.key and v.commit_ts > w.start_ts and v.commit_ts < w.txn_id + 2 group by all""",
+    "txn_overlay_cf": _with(_FAMILIES, _WRITES, f"w as (select *, {_CF.format('txn_id')} from txn_writes)")
+    + f""", r as (select event_id as txn_id, {_CF.format("event_id")}, event_id + 2 - 40 as start_ts, concat('user:', user_id + i) as key from events, (select unnest([0, 1, 2]) as i) where event_id % 97 = 0),
+      s as (select txn_id, r.cf, r.key, case when op = 'PUT' and strlen(value) > 0 then value end as value from r asof left join kv_families v on r.cf = v.cf and r.key = v.key and r.start_ts >= v.commit_ts)
+      select s.txn_id, s.cf, s.key, case when w.op is not null then w.value else s.value end as value, case when w.op is not null then 'pending' when s.value is not null then 'snapshot' else 'none' end as source
+      from s left join w on w.txn_id = s.txn_id and w.cf = s.cf and w.key = s.key""",
+    "version_rank": _with(_FAMILIES) + " select cf, key, commit_ts, row_number() over (partition by cf, key order by commit_ts desc, seq desc) - 1 as rank from kv_families",
+    "recent_ops": _with(_EVENTS) + " select key, commit_ts, op from kv_events order by commit_ts desc limit 100",
+    "level_order": _with(_FILES) + " select level, file_num, row_number() over (partition by level order by min_key, file_num) - 1 as place from files",
+    "role_lists": """with r as (select c_custkey, ['admin', lower(c_mktsegment), 'readonly'] || case when c_custkey % 2 = 0 then ['readwrite'] else [] end as roles from customer)
+      select c_custkey, array_to_string(roles, '|') as roles, array_to_string(list_filter(roles, lambda x: x in ('admin', 'readwrite', 'readonly')), '|') as valid, c_custkey % 2 = 0 as has_both from r""",
+    "path_rules": """select c_custkey, verb, case c_custkey % 4 when 2 then '' when 3 then 'admin' else
+        case when verb = 'GET' or verb = 'POST' and c_custkey % 4 = 0 then 'readonly,readwrite,admin' when verb = 'PATCH' then 'admin' else 'readwrite,admin' end end as roles
+      from customer, (select unnest(['GET', 'PUT', 'POST', 'DELETE', 'PATCH']) as verb)""",
+    "error_codes": "select c_custkey, case c_custkey % 3 when 0 then 'UNAUTHORIZED' when 1 then 'FORBIDDEN' else 'AUTH_ERROR' end as code from customer",
+    "droppable_families": "select unnest(['default', 'orders', 'docs', '__auth__']) as cf, unnest([true, true, true, false]) as droppable",
+    "scan_total": _E + " select count(*) as total from live where starts_with(key, 'user:1')",
+    "rest_scan_body": _E
+    + """, p as (select key, value, (row_number() over (order by key) - 1) // 20 as page from live where starts_with(key, 'user:1'))
+      select page, to_json(struct_pack(cf := 'default', prefix := 'user:1', items := list(struct_pack(key := key, value := value) order by key))) as body from p group by page""",
+    "change_feed_source": _FEED.replace(", commit_ts from kv_events", ", commit_ts, case commit_ts % 10 when 3 then 'batch' when 7 then 'transaction' else 'put' end as source from kv_events"),
+    "filter_membership": _with(_EVENTS, _BITS)
+    + """, f as (select run, list_distinct(flatten(list(bits))) as all_bits from (select distinct commit_ts % 64 as run, key from kv_events where commit_ts % 64 < 8) join bits using (key) group by run)
+      select run, key, list_has_all(all_bits, bits) as may_contain from bits, f""",
+    "native_store": _with(f"{_FAMILIES}, {_DOCS}, both_ as (select * from kv_families union all select * from kv_docs)", _newest("both_")) + " select cf, key, value, commit_ts from live",
+    "native_history": _with(_EVENTS) + " select cf, key, commit_ts, case when op = 'PUT' and strlen(value) > 0 then 'PUT' else 'DELETE' end as op, nullif(value, '') as value from kv_events",
+    "native_tables": _with(_EVENTS) + " select count(*) as n_entries, min(key) as min_key, max(key) as max_key, true as agree from kv_events where commit_ts <= (select max(commit_ts) // 2 from kv_events)",
+    "store_commits": """select 'nations' as cf, n_name as key, case n_name when 'NATION_3' then 'b' when 'NATION_5' then 'txn' else cast(n_nationkey as varchar) end as value,
+        case n_name when 'NATION_3' then 6 when 'NATION_5' then 7 else 2 end as commit_ts from nation where n_name <> 'NATION_4'
+      union all select 'default', r_name, case when r_name = 'EUROPE' then 'here' when r_regionkey % 2 = 0 then 'second' else 'first' end,
+        case when r_name = 'EUROPE' then 6 when r_regionkey % 2 = 0 then 4 else 2 end from region where r_name <> 'ASIA'""",
+    "user_accounts": """select lower(r_name) as username, case when r_name = 'ASIA' then 'readwrite' when r_regionkey = 0 then 'admin' when r_regionkey = 1 then 'readonly' else 'readonly,readwrite' end as roles
+      from region where r_name <> 'EUROPE'""",
     "change_feed_stream": _FEED,
     "latest_view_stream": _INFO,
 }

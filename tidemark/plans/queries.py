@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import hashing
 from tidemark.operators import access, scan, storage, versions, writes
 from tidemark.sources import fixtures as fx
+from tidemark.sources import native
 from tidemark.sources.shared import scratch
+from tidemark.sources.store import Store
+from tidemark.sources.users import Users
 from tidemark.streaming import feed
 
 SNAPSHOT = 700
@@ -130,17 +133,17 @@ def batch_apply(spark, sf):
 @query
 def cf_batch_apply(spark, sf):
     log = fx.kv_all(spark, sf)
-    return versions.latest(writes.apply_batch(log, fx.cf_batch(spark, sf), writes.next_ts(log))).where("cf <> 'docs'")
+    return versions.latest(writes.apply_batch(log, fx.cf_batch(spark, sf), writes.next_ts(log)))
 
 
 @query
 def txn_overlay_read(spark, sf):
-    return writes.overlay(fx.kv_events(spark, sf), fx.txn_writes(spark, sf), fx.txn_reads(spark, sf))
+    return writes.overlay(fx.kv_events(spark, sf), fx.txn_writes(spark, sf), fx.txn_reads(spark, sf)).drop("cf")
 
 
 @query
 def txn_conflicts(spark, sf):
-    return writes.conflicts(fx.kv_events(spark, sf), fx.txn_writes(spark, sf))
+    return writes.conflicts(fx.kv_events(spark, sf), fx.txn_writes(spark, sf)).drop("cf")
 
 
 @query
@@ -148,6 +151,34 @@ def txn_clean(spark, sf):
     return writes.clean(fx.kv_events(spark, sf), fx.txn_writes(spark, sf))
 
 
+@query
+def asof_get_cf(spark, sf):
+    """As-of reads in families that have keys of the same names."""
+    asked = fx.in_family(fx.requests(spark, sf), "req_id")
+    return versions.as_of(fx.kv_families(spark, sf), asked).select("req_id", "cf", "key", "snapshot_ts", "value", "commit_ts")
+
+
+@query
+def txn_conflicts_cf(spark, sf):
+    return writes.conflicts(fx.kv_families(spark, sf), fx.in_family(fx.txn_writes(spark, sf), "txn_id"))
+
+
+@query
+def txn_overlay_cf(spark, sf):
+    return writes.overlay(fx.kv_families(spark, sf), fx.in_family(fx.txn_writes(spark, sf), "txn_id"), fx.in_family(fx.txn_reads(spark, sf), "txn_id"))
+
+
+@query
+def version_rank(spark, sf):
+    return versions.ranks(fx.kv_families(spark, sf)).select("cf", "key", "commit_ts", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def recent_ops(spark, sf):
+    """The last 100 operations."""
+    return versions.recent(fx.kv_events(spark, sf)).select("key", "commit_ts", "op")
+
+
 @query
 def compact_documented(spark, sf):
     log = fx.kv_events(spark, sf)
@@ -175,6 +206,12 @@ def inspect_levels(spark, sf):
     return storage.inspect_levels(storage.manifest_files(fx.manifest_edits(spark, sf)))
 
 
+@query
+def level_order(spark, sf):
+    """Each file's place in its level, by least key."""
+    return storage.level_places(storage.manifest_files(fx.manifest_edits(spark, sf))).select("level", "file_num", F.col("place").cast("long").alias("place"))
+
+
 @query
 def oldest_snapshot(spark, sf):
     return storage.oldest_snapshot(fx.txn_writes(spark, sf))
@@ -243,6 +280,57 @@ def jwt_claims(spark, sf):
     return read.select("c.sub", F.array_join("c.roles", ",").alias("roles"), "c.exp", "c.iat")
 
 
+@query
+def role_lists(spark, sf):
+    """Roles given as text, and what of them is valid."""
+    text = F.expr("concat(' admin, ', lower(c_mktsegment), ',,readonly ', if(c_custkey % 2 = 0, ',readwrite', ''))")
+    named = fx.table(spark, sf, "customer").select("c_custkey", access.role_list(text).alias("roles"))
+    valid = F.filter("roles", access.valid_role)
+    writes_ = access.has_all(F.col("roles"), F.array(F.lit("admin"), F.lit("readwrite")))
+    return named.select("c_custkey", F.array_join("roles", "|").alias("roles"), F.array_join(valid, "|").alias("valid"), writes_.alias("has_both"))
+
+
+@query
+def path_rules(spark, sf):
+    """Roles of which a path and verb ask one, for keys of all kinds."""
+    verbs = F.explode(F.array(*map(F.lit, ("GET", "PUT", "POST", "DELETE", "PATCH")))).alias("verb")
+    path = F.expr("case c_custkey % 4 when 0 then '/api/v1/kv/scan' when 1 then concat('/api/v1/kv/k', c_custkey) when 2 then '/api/v1/auth/login' else '/api/v1/admin/users' end").alias("path")
+    asked = fx.table(spark, sf, "customer").select("c_custkey", path, verbs)
+    return asked.select("c_custkey", "verb", F.array_join(access.path_roles(F.col("path"), F.col("verb")), ",").alias("roles"))
+
+
+@query
+def error_codes(spark, sf):
+    status = F.expr("case c_custkey % 3 when 0 then 401 when 1 then 403 else 500 end")
+    return fx.table(spark, sf, "customer").select("c_custkey", access.error_code(status).alias("code"))
+
+
+@query
+def droppable_families(spark, sf):
+    """All families, and whether they may be dropped."""
+    named = scan.families(fx.kv_all(spark, sf).unionByName(fx.auth_log(spark, sf)))
+    return named.select("cf", (~F.col("cf").isin(*scan.SYSTEM)).alias("droppable"))
+
+
+@query
+def scan_total(spark, sf):
+    return scan.total(scan.scan(fx.kv_events(spark, sf), "user:1"))
+
+
+@query
+def rest_scan_body(spark, sf):
+    """A prefix scan's whole answer, in pages of 20 items."""
+    return scan.as_json(scan.scan(fx.kv_events(spark, sf), "user:1"), "user:1", page=20)
+
+
+@query
+def change_feed_source(spark, sf):
+    """Events that tell single puts and deletes from those of batches and transactions."""
+    log = fx.kv_events(spark, sf)
+    batches, txns = log.where("commit_ts % 10 = 3"), log.where("commit_ts % 10 = 7")
+    return feed.changes(feed.with_source(log, batches, txns))
+
+
 @query
 def change_feed(spark, sf):
     return feed.changes(fx.kv_events(spark, sf))
@@ -271,6 +359,80 @@ def bloom_bits(spark, sf):
     return keys.select("key", hashing.fnv1a32(F.col("key")).alias("fnv1a32"), F.array_join(hashing.bloom_positions(F.col("key")).cast("array<string>"), ",").alias("bits"))
 
 
+@query
+def filter_membership(spark, sf):
+    """Filters of 64 small runs, asked for every key: no key of a run is ever turned away."""
+    log = fx.kv_events(spark, sf).select("key", (F.col("commit_ts") % 64).alias("run"))
+    filters = hashing.filter_bits(log.where("run < 8").distinct(), ["run"])
+    asked = log.select("key").distinct().select("key", F.explode(F.expr("sequence(0L, 7L)")).alias("run"))
+    return asked.join(F.broadcast(filters), "run").select("run", "key", hashing.may_contain(F.col("bits"), F.col("key")).alias("may_contain"))  # 8 filters
+
+
+def _native(spark, log, name):
+    """A store's folder of its own files, laid down from a log: older versions in tables, the later half in write-ahead logs."""
+    at = scratch(spark, name)
+    native.write_store(log, at, storage.min_snapshot(log))
+    return at
+
+
+@query
+def native_store(spark, sf):
+    """Live keys of all families, read from a store's own files."""
+    log = fx.kv_families(spark, sf).unionByName(fx.kv_docs(spark, sf))
+    read = versions.latest(native.read_store(spark, _native(spark, log, "store")))
+    return read.select("cf", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "commit_ts")
+
+
+@query
+def native_history(spark, sf):
+    """All versions, read from a store's own files."""
+    read = native.read_store(spark, _native(spark, fx.kv_events(spark, sf), "history"))
+    return read.select("cf", F.col("key").cast("string").alias("key"), "commit_ts", "op", F.col("value").cast("string").alias("value"))
+
+
+@query
+def native_tables(spark, sf):
+    """What the footers, bounds and filters of a family's tables tell, together with its manifest."""
+    at = _native(spark, fx.kv_events(spark, sf), "tables") + "/default"
+    info = native.table_info(spark, f"{at}/*.sst").withColumn("file_num", F.regexp_extract("path", r"(\d+)\.sst$", 1).cast("long"))
+    files = storage.manifest_files(native.read_manifest(spark, f"{at}/MANIFEST"))
+    both = files.join(info.select("file_num", "n_entries", "bits", F.col("min_key").cast("string").alias("least"), F.col("max_key").cast("string").alias("greatest")), "file_num")
+    agree = F.bool_and((F.col("min_key") == F.col("least")) & (F.col("max_key") == F.col("greatest")) & hashing.may_contain(F.col("bits"), F.col("least")) & hashing.may_contain(F.col("bits"), F.col("greatest")))
+    return both.agg(F.sum("n_entries").alias("n_entries"), F.min("least").alias("min_key"), F.max("greatest").alias("max_key"), agree.alias("agree"))
+
+
+@query
+def store_commits(spark, sf):
+    """The verbs of a durable store: families, batches, single ops, a transaction, a drop, a vacuum; what is live afterwards."""
+    store = Store(spark, scratch(spark, "commits"))
+    for cf in ("nations", "gone"):
+        store.create_cf(cf)
+    nation, region = fx.table(spark, sf, "nation"), fx.table(spark, sf, "region")
+    op = lambda cf, key, value: [F.lit(cf).alias("cf"), key.alias("key"), F.lit(0).alias("seq"), F.lit("PUT").alias("op"), value.alias("value")]
+    store.append(nation.select(*op("nations", F.col("n_name"), F.col("n_nationkey").cast("string"))).unionByName(region.select(*op("", F.col("r_name"), F.lit("first")))))
+    store.put("x", "lost", "gone")
+    store.append(region.where("r_regionkey % 2 = 0").select(*op("default", F.col("r_name"), F.lit("second"))))
+    store.delete("ASIA")
+    store.batch("nations").add_put("NATION_3", "a").add_put("NATION_3", "b").add_delete("NATION_4").add_put("EUROPE", "here", "").commit()
+    txn = store.transaction("nations")
+    txn.put("NATION_5", "txn")
+    store.drop_cf("gone")
+    store.vacuum()
+    txn.commit()
+    return versions.latest(store.log())
+
+
+@query
+def user_accounts(spark, sf):
+    """Accounts kept in a store: created, changed, deleted, listed."""
+    users = Users(Store(spark, scratch(spark, "users")), b"key of this test")
+    for r in fx.table(spark, sf, "region").orderBy("r_regionkey").collect():  # five rows
+        users.create(f" {r.r_name} ", "password", ["admin"] if r.r_regionkey == 0 else ["readonly", "readwrite"][: r.r_regionkey])
+    users.update_roles("asia", ["readwrite"])
+    users.delete("europe")
+    return users.list().select("username", F.array_join("roles", ",").alias("roles"))
+
+
 def _stream(spark, sf):
     schema = fx.table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")

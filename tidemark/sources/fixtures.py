@@ -53,6 +53,19 @@ def kv_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv_events(spark, sf_dir).unionByName(kv_orders(spark, sf_dir)).unionByName(kv_docs(spark, sf_dir))
 
 
+def kv_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families that have keys of the same names: the events' and a mirror of them at other times, and orders."""
+    own = kv_events(spark, sf_dir)
+    mirror = own.select(F.lit("mirror").alias("cf"), "key", (F.col("commit_ts") * 2 - 1).alias("commit_ts"), "seq", "op", F.concat(F.lit("m"), "value").alias("value"))
+    return own.unionByName(mirror).unionByName(kv_orders(spark, sf_dir))
+
+
+def in_family(rows: DataFrame, number: str) -> DataFrame:
+    """Requests or writes spread over families; every third names none, which means the default one."""
+    n = F.col(number)
+    return rows.withColumn("cf", F.when(n % 3 == 0, F.lit(None).cast("string")).when(n % 2 == 0, "mirror").otherwise("default"))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events' log as four overlapping sorted runs."""
     return kv_events(spark, sf_dir).withColumn("run", F.col("commit_ts") % 4)
