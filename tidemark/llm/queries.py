@@ -60,31 +60,29 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits the archive of all pages against a replica with known damage: some bodies turned by a character, some records lost."""
+    """Audits the archive of all pages against a replica with known damage: bodies turned by a character or grown, records lost, and records that don't belong there."""
+    pages = table(spark, sf_dir, "pages")
     page, body = F.col("page_id"), F.coalesce("html", F.lit(""))
-    turned = F.when(page % 97 == 3, F.expr("concat(substring(coalesce(html, ''), 2), left(coalesce(html, ''), 1))")).otherwise(body)
-    records = table(spark, sf_dir, "pages").select(page.alias("id"), warc.record(page, F.col("url"), body).alias("own"), warc.record(page, F.col("url"), turned).alias("copy"))
-    index = warc.index(
-        records.select(
-            "id",
-            F.octet_length("own").cast("long").alias("size"),
-            F.sha2("own", 256).alias("digest"),
-            F.when(F.coalesce(F.col("id") % 101 != 7, F.lit(True)), F.sha2("copy", 256)).alias("copy_digest"),
-        )
-    )
-    found = warc.audit(index.select("offset", "digest"), index.where("copy_digest is not null").select("offset", F.col("copy_digest").alias("digest")))
-    return index.join(found, "offset").select(F.col("id").alias("page_id"), "offset", F.col("size").alias("length"), "problem")
-
-
-OP5_SQL = """
-with r as (
-  select page_id, coalesce(html, '') as body,
-    cast(strlen(concat('WARC/1.1', 'WARC-Type: resource', 'WARC-Record-ID: <urn:md5:', md5(cast(page_id as varchar)), '>', 'WARC-Target-URI: ', coalesce(url, ''),
-      'Content-Type: text/html', 'Content-Length: ', cast(strlen(coalesce(html, '')) as varchar), coalesce(html, ''))) + 18 as bigint) as length
-  from pages),
-o as (select *, cast(sum(length) over (order by page_id rows unbounded preceding) - length as bigint) as "offset" from r)
-select page_id, "offset", length, case when page_id % 101 = 7 then 'missing' else 'changed' end as problem
-from o where page_id % 101 = 7 or page_id % 97 = 3 and concat(substring(body, 2), left(body, 1)) <> body
+    turned, grown, lost = page % 97 == 3, page % 103 == 5, F.coalesce(page % 101 == 7, F.lit(False))
+    stored = F.when(turned, F.expr("concat(substring(coalesce(html, ''), 2), left(coalesce(html, ''), 1))")).when(grown, F.concat(body, F.lit("more"))).otherwise(body)
+    hashed = lambda text: [page.alias("id"), F.octet_length(text).cast("long").alias("size"), F.sha2(text, 256).alias("digest")]
+    extra = pages.where((page % 89 == 1) & ~turned & ~grown & ~lost).select(*hashed(warc.record(page, F.lit("http://elsewhere/"), F.lit("not of this archive"))))
+    first = warc.index(pages.select(*hashed(warc.record(page, F.col("url"), body))), "first")
+    second = warc.index(pages.where(~lost).select(*hashed(warc.record(page, F.col("url"), body, stored))).unionByName(extra), "second")
+    return warc.audit(first, second).select(F.col("id").alias("page_id"), "file", "offset", F.col("size").alias("length"), "problem")
+
+
+def _op5_sql() -> str:
+    record = lambda url, body, stored: f"""concat('WARC/1.1\\r\\nWARC-Type: resource\\r\\nWARC-Record-ID: <urn:md5:', md5(concat(page_id, ' ', {url}, ' ', {body})), '>\\r\\nWARC-Date: {warc.DATE}\\r\\nWARC-Target-URI: ',
+      replace(replace({url}, chr(13), '%0D'), chr(10), '%0A'), '\\r\\nContent-Type: text/html\\r\\nContent-Length: ', strlen({body}), '\\r\\n\\r\\n', {stored}, '\\r\\n\\r\\n')""".replace("'WARC", "e'WARC").replace("'>\\", "e'>\\").replace("'\\", "e'\\")
+    turned = "case when page_id % 97 = 3 then concat(substring(body, 2), left(body, 1)) when page_id % 103 = 5 then concat(body, 'more') else body end"
+    placed = lambda rows: f"""select *, strlen(rec) as length, cast(sum(strlen(rec)) over (partition by file order by page_id, sha256(rec) rows unbounded preceding) - strlen(rec) as bigint) as "offset" from ({rows})"""
+    return f"""
+with r as (select page_id, page_id // {warc.FILE_IDS} as file, coalesce(url, '') as url, coalesce(html, '') as body from pages),
+a as ({placed(f"select page_id, file, {record('url', 'body', 'body')} as rec, {turned} <> body as damaged from r")}),
+b as ({placed(f"select page_id, file, {record('url', 'body', turned)} as rec, false as foreign_ from r where page_id % 101 <> 7 union all select page_id, file, {record(repr('http://elsewhere/'), repr('not of this archive'), repr('not of this archive'))}, true from r where page_id % 89 = 1 and page_id % 97 <> 3 and page_id % 103 <> 5 and page_id % 101 <> 7")})
+select page_id, file, "offset", length, case when page_id % 101 = 7 then 'missing' else 'changed' end as problem from a where page_id % 101 = 7 or damaged
+union all select page_id, file, "offset", length, 'extra' from b where foreign_
 """
 
 
@@ -242,7 +240,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
     "op4_sharding": OP4_SQL,
-    "op5_warc_fixity": OP5_SQL,
+    "op5_warc_fixity": _op5_sql(),
     "op6_decontamination": OP6_SQL,
     "op9_secret_scans": _op9_sql(),
 }
