@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 
 import public_tokenizers
@@ -48,7 +49,7 @@ def test_long_words_merge_alike():
     for word in ("lo" * 150, "the" * 120, "xqz" * 99):
         parts = [CODEC.inner[b] for b in word.encode()]
         parts[-1] = CODEC.last[word.encode()[-1]]
-        assert CODEC.merge_long(parts) == CODEC.merge(word.encode())
+        assert list(CODEC.merge_long(parts)) == list(CODEC.merge(word.encode()))
 
 
 def test_frame(spark):
@@ -62,3 +63,10 @@ def test_frame(spark):
         assert r.ids == want and r.n_tokens == len(want) and LIBRARY.decode(want, skip_special_tokens=False) == r.decoded
         assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest()
     assert bpe.encode(spark.createDataFrame([], schema), PATH).count() == 0
+
+
+def test_very_long_words_and_texts():
+    rng = random.Random(1)
+    for text in ("x" * 50_000, "".join(rng.choices("abcdefghijklmnopqrst", k=50_000)), "".join(rng.choices("theandofing", k=50_000)), "".join(rng.choices("étèlañ", k=20_000)), " ".join(rng.choices(["word", "of", "prose", "y" * 3000], k=3000))):
+        check(text)
+    assert len(CODEC.encode("lo" * 1_000_000)) % 4 == 0

@@ -20,6 +20,7 @@ import struct
 import unicodedata
 from array import array
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -31,7 +32,7 @@ ship(__name__)
 CACHE_WORDS = 1 << 17
 #: Longer white-space-free stretches are encoded without being kept.
 CACHE_CHARS = 64
-#: Parts up to which ranks are scanned; beyond it a heap finds the same minima, to keep long words from quadratic time.
+#: Parts up to which ranks are scanned; beyond it places are kept by rank, with the same minima, to keep long words from quadratic time.
 SCAN_PARTS = 400
 _SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Ranges whose letters and numbers are newer than the Unicode tables that the vocabulary's library splits by.
@@ -123,10 +124,10 @@ class Codec:
         self.space = regex.compile(_SPACE)
         self.odd = regex.compile("[\x1c-\x1f]")
         self.table = [self.pieces.get(i, "") for i in range(max(self.pieces) + 1)]
-        self.word_ids = _Cache(lambda w: struct.pack(f"<{len(i := self.merge(w.encode('utf-8', 'surrogatepass')))}I", *i), CACHE_WORDS)
+        self.word_ids = _Cache(lambda w: array("I", self.merge(w.encode("utf-8", "surrogatepass"))).tobytes(), CACHE_WORDS)
         self.ids = _Cache(lambda s: b"".join(map(self.word_ids.__getitem__, self.split(s))), CACHE_WORDS)
 
-    def merge(self, word: bytes) -> list[int]:
+    def merge(self, word: bytes) -> list[int] | array:
         """The ids of one word, by the rank array."""
         parts = [self.inner[b] for b in word]
         parts[-1] = self.last[word[-1]]
@@ -148,27 +149,42 @@ class Codec:
                 pairs[i] = get(parts[i] << SHIFT | parts[i + 1], _NEVER)
         return parts
 
-    def merge_long(self, parts: list[int]) -> list[int]:
-        """The same merges for a very long word: a heap of (rank, place) over linked parts."""
+    def merge_long(self, parts: list[int]) -> array:
+        """The same merges for a very long word: places by rank, lowest rank first, over linked parts; some 30 bytes a part."""
         import heapq
 
         n, get = len(parts), self.ranks.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r >> SHIFT, i, r & _ID, parts[i], parts[i + 1]) for i in range(n - 1) if (r := get(parts[i] << SHIFT | parts[i + 1])) is not None]
-        heapq.heapify(heap)
+        parts, after, before = array("i", parts), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        places: dict[int, array] = {}
+        heap: list[int] = []
+
+        def note(i: int, rank: int) -> None:
+            if rank in places:
+                places[rank].append(i)
+            else:
+                places[rank] = array("i", [i])
+                heapq.heappush(heap, rank)
+
+        for i in range(n - 1):
+            if (r := get(parts[i] << SHIFT | parts[i + 1])) is not None:
+                note(i, r >> SHIFT)
         while heap:
-            _, i, made, a, b = heapq.heappop(heap)
-            j = after[i]
-            if parts[i] != a or j >= n or parts[j] != b:
-                continue
-            parts[i], parts[j] = made, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x in (before[i], i):
-                if x >= 0 and after[x] < n and (r := get(parts[x] << SHIFT | parts[after[x]])) is not None:
-                    heapq.heappush(heap, (r >> SHIFT, x, r & _ID, parts[x], parts[after[x]]))
-        return [p for p in parts if p >= 0]
+            rank = heapq.heappop(heap)
+            own = np.sort(np.frombuffer(places.pop(rank), np.int32))
+            for at in range(0, len(own), 1 << 16):
+                for i in own[at : at + (1 << 16)].tolist():
+                    j = after[i]
+                    if parts[i] < 0 or j >= n or (r := get(parts[i] << SHIFT | parts[j])) is None or r >> SHIFT != rank:
+                        continue  # a part of the pair has become another meanwhile
+                    parts[i], parts[j] = r & _ID, -1
+                    after[i] = after[j]
+                    if after[j] < n:
+                        before[after[j]] = i
+                    for x in (before[i], i):
+                        if x >= 0 and after[x] < n and (r := get(parts[x] << SHIFT | parts[after[x]])) is not None:
+                            note(x, r >> SHIFT)
+        whole = np.frombuffer(parts, np.int32)
+        return array("i", whole[whole >= 0].tobytes())
 
     def split(self, raw: str) -> list[str]:
         """The words of a stretch without white space."""
