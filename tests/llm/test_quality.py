@@ -61,3 +61,13 @@ def test_frame(spark):
     out = quality.repetition_quality(df, keep=["doc_id"]).collect()
     assert len(out) == len(rows) and out[0].n_words == 0 and not out[0].kept
     assert quality.repetition_quality(df.limit(0)).count() == 0
+
+
+def test_very_long_texts():
+    prose = " ".join(f"w{i % 70_001}" for i in range(70_001))
+    texts = ["x" * 10_000_000, prose, f"{prose} {prose}", "line of some words\n" * 400_000]
+    got = run(texts)
+    assert got[0][:2] == [1, 10_000_000] and got[0][5:7] == [True, False]
+    assert got[1] == brute(prose) and got[1][6]
+    assert got[2][0] == got[2][4] == 140_002 and not got[2][6]
+    assert got[3][:5] == [1_600_000, 6_000_000, 0, 399_999, 1_600_000]

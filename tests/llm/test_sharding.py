@@ -32,3 +32,10 @@ def test_edges(spark):
     check(rows, sharding.shard_by_bytes(df, 5).collect(), 5)
     assert sharding.shard_by_bytes(df.limit(0)).count() == 0
     assert [r.shard for r in sharding.shard_by_bytes(df.limit(1), 4).collect()] == [2]
+
+
+def test_very_long_texts(spark):
+    rows = [(i, "é" * 10_000_000 if i == 5 else f"text {i}") for i in range(40)]
+    out = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    check(rows, out, 4)
+    assert next(r for r in out if r.doc_id == 5).text_crc32 == zlib.crc32(rows[5][1].encode())

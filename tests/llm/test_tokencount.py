@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -44,3 +46,12 @@ def test_frame(spark):
     out = tokencount.count_tokens(df, VOCABULARY, keep=["doc_id"]).collect()
     assert [r.n_tokens for r in out] == [len(LARGE_LIBRARY.encode(t).ids) for t in ODD] + [0, 0]
     assert tokencount.count_tokens(df.limit(0), VOCABULARY).count() == 0
+
+
+def test_very_long_words_and_texts():
+    rng = random.Random(1)
+    for word in ("x" * 60_000, "".join(rng.choices("abcdefghij漢é", k=60_000)), " ".join(rng.choices(["word", "of", "prose", "x" * 5000], k=3000))):
+        assert LARGE.count(word)[0] == len(LARGE_LIBRARY.encode(word).ids)
+    word = "".join(rng.choices("ab xyé", k=9000))
+    assert LITTLE.count(word)[0] == len(SMALL_LIBRARY.encode(word).ids)
+    assert LARGE.count("ab" * 2_000_000)[1:] == (1, 0)

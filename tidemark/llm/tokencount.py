@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -28,6 +29,9 @@ ship(__name__)
 BLANK = "▁"
 UNKNOWN_COST = 10.0
 CACHE_WORDS = 1 << 18
+#: Characters from which a word's tables are arrays.
+LONG = 4096
+NEVER = float("-inf")
 
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_fallback", T.LongType())]
 
@@ -64,12 +68,15 @@ class Counter:
     def word(self, word: str) -> int:
         """Pieces of a word, and those of them that stand for unknown characters, as pieces << 32 | unknown."""
         n = len(word)
-        best, count, odd, run = [0.0] + [None] * n, [0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        if n <= LONG:
+            best, count, odd, run = [0.0] + [NEVER] * n, [0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        else:  # the same in 25 bytes a character
+            best, count, odd, run = array("d", [0.0]) + array("d", [NEVER]) * n, array("q", bytes(8 * n + 8)), array("q", bytes(8 * n + 8)), bytearray(n + 1)
         single = self.single
 
         def unknown(end: int) -> None:
             score = self.unknown + best[end - 1]
-            if best[end] is None or score > best[end]:
+            if score > best[end]:
                 size = len(word[end - 1].encode("utf-8", "surrogatepass")) if self.bytes else int(not run[end - 1])
                 best[end], count[end], odd[end], run[end] = score, count[end - 1] + size, odd[end - 1] + size, True
 
@@ -81,7 +88,7 @@ class Counter:
                 if word[done - 1] not in single:
                     unknown(done)
             score += best[end - size]
-            if best[end] is None or score > best[end]:
+            if score > best[end]:
                 best[end], count[end], odd[end], run[end] = score, count[end - size] + 1, odd[end - size], False
         while done < n:
             done += 1
