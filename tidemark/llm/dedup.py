@@ -258,8 +258,9 @@ def _nodes(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
     several = materialize(named.groupBy("id").agg(F.min(part).alias("x"), F.max(part).alias("y")).where("x <> y").select("id"), "several")
     if several.isEmpty():
         return classes.withColumn("node", F.col("least")), copies, several, False
-    first = Window.partitionBy("least").orderBy("set_key")
-    shared = classes.join(several, classes["least"] == several["id"], "left_semi").withColumn("k", F.row_number().over(first)).where("k > 1")
+    shared = classes.join(bounded(several), classes["least"] == several["id"], "left_semi")
+    heads = bounded(materialize(shared.groupBy("least").agg(F.min("set_key").alias("head")), "heads"))
+    shared = shared.join(heads, "least").where("set_key <> head")
     top = named.agg(F.max("id")).first()[0] + 1
     numbered = materialize(shared.select("set_key", (F.lit(top) + F.monotonically_increasing_id()).alias("number")), "numbered")
     return classes.join(bounded(numbered), "set_key", "left").withColumn("node", F.coalesce("number", "least")).drop("number"), copies, several, True
