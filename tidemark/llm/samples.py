@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts of one label's rows that are ranked by themselves.
+PARTS = 256
+
 
 def fold(id_col: str, folds: int):
     """crc32 of the id as text, modulo the folds; null for a null id."""
@@ -25,9 +28,11 @@ def sample_texts(docs: DataFrame, labelled: DataFrame, per_class: int, max_bytes
     size = F.octet_length("text")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(size > 0).withColumn("long", size > max_bytes)
     usable = texts.groupBy("id").agg(F.min("long").alias("long"))
-    lowest = Window.partitionBy("label").orderBy("long", F.xxhash64("id"), "id")
-    ranked = labelled.where("id is not null and label is not null").join(usable, "id").withColumn("rank", F.row_number().over(lowest))
-    chosen = ranked.where(F.col("rank") <= per_class).select("id", "label", "long")
+    order = ["long", F.xxhash64("id"), "id"]
+    chosen = labelled.where("id is not null and label is not null").join(usable, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+    for by in (["label", "part"], ["label"]):  # a label's rows are cut down in parts before they come together
+        chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= per_class)
+    chosen = chosen.select("id", "label", "long")
     middle = F.when(F.col("long"), F.substring(F.col("text"), F.greatest(F.lit(1), ((F.length("text") - max_bytes) / 2).cast("int") + 1), F.lit(max_bytes))).otherwise(F.col("text"))
     rows = (
         texts.join(F.broadcast(chosen), ["id", "long"])
