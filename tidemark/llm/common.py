@@ -23,7 +23,7 @@ from tidemark.sources.shared import bounded, materialize, release  # noqa: F401
 #: Text bytes that one kernel call sees at most, unless a single text is longer.
 SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch between the JVM and a Python worker.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def ship(module: str) -> None:
