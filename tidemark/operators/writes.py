@@ -51,9 +51,9 @@ def conflicts(log: DataFrame, writes: DataFrame) -> DataFrame:
     Deletes count; a key of the same name in another family doesn't. The newest version before the commit
     tells it all, so this is an as-of read of the write set, not a join with all later versions.
     """
-    asked = _placed(writes).select(F.struct("txn_id", "start_ts").alias("req_id"), "cf", "key", (F.col("txn_id") + 1).alias("snapshot_ts")).distinct()
+    asked = _placed(writes).select(F.struct("txn_id", "start_ts").alias("req_id"), "cf", "key", (F.col("txn_id") + 1).alias("snapshot_ts"))
     seen = versions.as_of(log, asked).where(F.col("commit_ts") > F.col("req_id.start_ts"))
-    return seen.select(F.col("req_id.txn_id").alias("txn_id"), "cf", "key", "commit_ts")
+    return seen.select(F.col("req_id.txn_id").alias("txn_id"), "cf", "key", "commit_ts").distinct()  # a key may be written twice
 
 
 def clean(log: DataFrame, writes: DataFrame) -> DataFrame:
