@@ -223,14 +223,17 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     of x, and the first such shingle leaves enough places behind it. Rows of a
     shingle's commonest root are compared only with those of other roots.
     """
-    rows = materialize(sets.select("id", "root", F.size("set").cast("long").alias("n"), F.explode("set").alias("shingle")), "shingles")
+    sets = materialize(sets.select("id", "root", F.size("set").cast("long").alias("n"), "set"), "sets")
+    rows = sets.select("id", F.explode("set").alias("shingle"))  # narrow: these rows are moved
     counts = materialize(rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "counts")
     common = bounded(counts.where(F.col("df") > COMMON))
-    rare = rows.join(common.select("shingle"), "shingle", "left_anti").join(counts.where(F.col("df") <= COMMON), "shingle", "left")
-    weighed = rows.join(common, "shingle").unionByName(rare.withColumn("df", F.coalesce("df", F.lit(1))))
-    placed = weighed.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")))
+    rare = rows.join(common.select("shingle"), "shingle", "left_anti").join(counts.where(F.col("df") <= COMMON), "shingle")
+    own = Window.partitionBy("id")
+    met = rows.join(common, "shingle").unionByName(rare).withColumn("rank", F.row_number().over(own.orderBy("df", "shingle"))).withColumn("met", F.count("*").over(own))
+    # a set's shingles that no other set has come first; how many there are, its size tells
     probe, index = f"n - ({percent} * n + 99) div 100 + 1", f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1"
-    prefix = placed.where(f"df > 1 and place <= {probe}").withColumn("indexed", F.expr(f"place <= {index}")).drop("df")
+    prefix = met.join(sets.select("id", "root", "n"), "id").withColumn("place", F.expr("n - met + rank"))
+    prefix = prefix.where(f"place <= {probe}").withColumn("indexed", F.expr(f"place <= {index}")).drop("df", "rank", "met")
     prefix = materialize(prefix, "prefixes")
     main = prefix.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
     mixed = prefix.join(main.where("roots > 1").select("shingle", "main"), "shingle")
@@ -241,7 +244,7 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     y = y.where("indexed_y")
     found = x.where("outside_x").join(y, "shingle").where(fits).unionByName(x.where("not outside_x").join(y.where("outside_y"), "shingle").where(fits))
     pairs = materialize(found.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), "crossing")
-    release(rows, counts, prefix, mixed)
+    release(sets, counts, prefix, mixed)
     return pairs
 
 
