@@ -107,3 +107,19 @@ for n in ("op2_quality_rules", "op3_language_id", "op6_decontamination", "op8_to
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=300)
+
+
+def test_queries_show_what_their_method_finds(spark):
+    texts = {r.doc_id: r.text for r in table(spark, AT, "documents").collect()}
+    for r in QUERIES["op3_language_id"](spark, AT).collect():
+        bits = {k: float(v) for k, v in (x.split(":") for x in r.code_bits.split(",") if x)}
+        if r.lang_pred != "und":
+            assert bits[r.lang_pred] == min(bits.values()) and len(bits) > 1
+    toxic = [r for r in QUERIES["op7_toxicity"](spark, AT).collect() if r.sentences]
+    for r in toxic:
+        for begin, end, score in (s.split(":") for s in r.sentences.split(",")):
+            assert 0 <= int(begin) < int(end) <= len(texts[r.doc_id]) and 0.5 <= float(score) <= 1
+        assert r.predicted == 1
+    for r in QUERIES["op6_decontamination"](spark, AT).collect():
+        spans = [tuple(map(int, s.split(":"))) for s in r.spans.split(",") if s]
+        assert sum(e - b for b, e in spans) == r.n_hit and (r.longest >= 1) == bool(spans)
