@@ -151,7 +151,7 @@ ORACLE_SQL: dict[str, str] = {
     "scan_total": _E + " select count(*) as total from live where starts_with(key, 'user:1')",
     "rest_scan_body": _E
     + """, p as (select key, value, (row_number() over (order by key) - 1) // 20 as page from live where starts_with(key, 'user:1'))
-      select page, to_json(struct_pack(cf := 'default', prefix := 'user:1', items := list(struct_pack(key := key, value := value) order by key))) as body from p group by page""",
+      select page, cast(to_json(struct_pack(cf := 'default', prefix := 'user:1', items := list(struct_pack(key := key, value := value) order by key))) as varchar) as body from p group by page""",
     "change_feed_source": _FEED.replace(", commit_ts from kv_events", ", commit_ts, case commit_ts % 10 when 3 then 'batch' when 7 then 'transaction' else 'put' end as source from kv_events"),
     "filter_membership": _with(_EVENTS, _BITS)
     + """, f as (select run, list_distinct(flatten(list(bits))) as all_bits from (select distinct commit_ts % 64 as run, key from kv_events where commit_ts % 64 < 8) join bits using (key) group by run)
@@ -160,9 +160,9 @@ ORACLE_SQL: dict[str, str] = {
     "native_history": _with(_EVENTS) + " select cf, key, commit_ts, case when op = 'PUT' and strlen(value) > 0 then 'PUT' else 'DELETE' end as op, nullif(value, '') as value from kv_events",
     "native_tables": _with(_EVENTS) + " select count(*) as n_entries, min(key) as min_key, max(key) as max_key, true as agree from kv_events where commit_ts <= (select max(commit_ts) // 2 from kv_events)",
     "store_commits": """select 'nations' as cf, n_name as key, case n_name when 'NATION_3' then 'b' when 'NATION_5' then 'txn' else cast(n_nationkey as varchar) end as value,
-        case n_name when 'NATION_3' then 6 when 'NATION_5' then 7 else 2 end as commit_ts from nation where n_name <> 'NATION_4'
+        cast(case n_name when 'NATION_3' then 6 when 'NATION_5' then 7 else 2 end as bigint) as commit_ts from nation where n_name <> 'NATION_4'
       union all select 'default', r_name, case when r_name = 'EUROPE' then 'here' when r_regionkey % 2 = 0 then 'second' else 'first' end,
-        case when r_name = 'EUROPE' then 6 when r_regionkey % 2 = 0 then 4 else 2 end from region where r_name <> 'ASIA'""",
+        cast(case when r_name = 'EUROPE' then 6 when r_regionkey % 2 = 0 then 4 else 2 end as bigint) from region where r_name <> 'ASIA'""",
     "user_accounts": """select lower(r_name) as username, case when r_name = 'ASIA' then 'readwrite' when r_regionkey = 0 then 'admin' when r_regionkey = 1 then 'readonly' else 'readonly,readwrite' end as roles
       from region where r_name <> 'EUROPE'""",
     "change_feed_stream": _FEED,
