@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import hashing
 from tidemark.operators import storage, versions
-from tidemark.sources import native
+from tidemark.sources import native, shared
 
 
 def test_wal_round_trip_and_replay(spark, tmp_path):
@@ -135,6 +135,27 @@ def test_written_store_reads_back(spark, tmp_path):
     assert (tmp_path / "s" / "a%2Fb" / "wal.log").stat().st_size > 0
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_values_are_never_broadcast(spark, tmp_path, monkeypatch, few):
+    """A decoded value log looks as small as the table of its ranges; its values must not go through the driver for that."""
+    log = spark.createDataFrame([("default", f"k{i:03d}", i + 2, 0, "PUT", "v" * (i + 20)) for i in range(300)], "cf string, key string, commit_ts long, seq int, op string, value string")
+    native.write_store(log, str(tmp_path / "s"), 100)
+    monkeypatch.setattr(native, "bounded", lambda ids: shared.bounded(ids, few))
+    read = native.read_store(spark, str(tmp_path / "s"))
+    assert {(bytes(r.key).decode(), len(r.value)) for r in read.collect()} == {(f"k{i:03d}", i + 20) for i in range(300)}
+    joins = [x for x in read._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x]
+    assert joins and all("SortMergeJoin" in x or few and "LeftSemi" in x for x in joins)
+
+
+def test_parts_are_written_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(native, "scratch", lambda _, name: str(tmp_path / name))
+    log = spark.createDataFrame([("default", f"k{i:03d}", i + 2, 0, "PUT", "v" * (i + 20)) for i in range(300)], "cf string, key string, commit_ts long, seq int, op string, value string")
+    native.write_store(log, str(tmp_path / "s"), 100)
+    for name, head in (("vlog", 8), ("wal", 0)):
+        whole = next((tmp_path / "s" / "default").glob(f"{name}.*")).stat().st_size - head
+        assert sum(p.stat().st_size for p in (tmp_path / "native").glob(f"{name}-*") if p.suffix != ".crc") == whole > 0
+
+
 def test_manifest_stops_at_the_first_bad_line(spark, tmp_path):
     b = lambda s: base64.b64encode(s).decode()
     add = lambda n, level, lo, hi, size: {"file_num": n, "level": level, "min_key": b(lo), "max_key": b(hi), "size": size}

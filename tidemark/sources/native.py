@@ -401,12 +401,13 @@ def families(spark: SparkSession, root: str) -> list[str]:
 def resolved(stored: DataFrame, vlog: DataFrame) -> DataFrame:
     """Versions whose stored value has a pointer's length, with the value that it names; where it names none it is the value itself.
 
-    Only pointers are joined; they are broadcast if few, so that the value log stays where it is.
+    Only pointers are joined; where they are few, their places are broadcast, so that only named values leave the value log.
+    All else is merged, the values are never broadcast: Spark takes a decoded file to be as small as the table of its ranges.
     """
+    stored = materialize(stored, "versions")
     short = stored.where(F.octet_length("value") == POINTER_BYTES).withColumn("offset", pointer_offset(F.col("value"))).withColumn("size", pointer_size(F.col("value")))
-    short = materialize(short, "pointers")
-    named = vlog.select("offset", "size", F.col("value").alias("named")).join(bounded(short.select("offset", "size").where("size > 0").distinct()), ["offset", "size"], "left_semi")
-    found = short.join(named, ["offset", "size"], "left").withColumn("value", F.coalesce("named", "value")).select(stored.columns)
+    named = vlog.select("offset", "size", F.col("value").alias("named")).hint("merge").join(bounded(short.select("offset", "size").where("size > 0").distinct()), ["offset", "size"], "left_semi")
+    found = short.join(named.hint("merge"), ["offset", "size"], "left").withColumn("value", F.coalesce("named", "value")).select(stored.columns)
     return stored.where(F.coalesce(F.octet_length("value"), F.lit(0)) != POINTER_BYTES).unionByName(found)
 
 
@@ -475,22 +476,27 @@ def write_store(log: DataFrame, root: str, in_tables_to: int | None = None) -> N
         own = own.groupBy("key", "commit_ts").agg(F.max_by(F.struct("op", "value"), "seq").alias("v")).select("key", "commit_ts", "v.op", "v.value")
         big = own.where(storage.placement(F.col("value")) == "pointer")
         big = storage.laid_out(big.select(F.struct("commit_ts", "key").alias("place"), "key", "commit_ts", "value", F.octet_length("value").cast("long").alias("size")), "place")
-        placed = materialize(own.join(big.select("key", "commit_ts", "offset", "size"), ["key", "commit_ts"], "left"), "stored")
-        chunks = big.select("offset", "value").repartitionByRange("offset").sortWithinPartitions("offset").mapInArrow(_part_writer(parts, "vlog", _vlog_bytes), "first long, path string").sort("first").collect()
-        _concatenated(spark, [r.path for r in chunks], f"{at}/{VLOG}", MAGIC + struct.pack(">I", VERSION))
         pointer = F.unhex(F.concat(F.lpad(F.hex("offset"), 16, "0"), F.lpad(F.hex("size"), 8, "0")))
-        stored = placed.select("key", "commit_ts", "op", F.when(F.col("size").isNotNull(), pointer).otherwise(F.col("value")).alias("value"))
+        placed = own.join(big.select("key", "commit_ts", "offset", "size"), ["key", "commit_ts"], "left")
+        stored = materialize(placed.select("key", "commit_ts", "op", F.when(F.col("size").isNotNull(), pointer).otherwise(F.col("value")).alias("value")), "stored")
+        chunks = _written(big.select("offset", "value").repartitionByRange("offset").sortWithinPartitions("offset"), _part_writer(parts, "vlog", _vlog_bytes), "first long, path string")
+        _concatenated(spark, [r.path for r in chunks], f"{at}/{VLOG}", MAGIC + struct.pack(">I", VERSION))
         old = stored if in_tables_to is None else stored.where(F.col("commit_ts") <= in_tables_to)
-        runs = old.repartitionByRange("key").sortWithinPartitions("key", F.desc("commit_ts")).mapInArrow(_table_writer(at), "file_num long, min_key binary, max_key binary, size long").sort("file_num").collect()
+        runs = _written(old.repartitionByRange("key").sortWithinPartitions("key", F.desc("commit_ts")), _table_writer(at), "file_num long, min_key binary, max_key binary, size long")
         edits = [{"new_files": [{"file_num": r.file_num, "level": 0, "min_key": base64.b64encode(r.min_key).decode(), "max_key": base64.b64encode(r.max_key).decode(), "size": r["size"]}], "next_file_num": r.file_num + 1} for r in runs]
         out = files.create(path(f"{at}/{MANIFEST}"), True)
         out.write(bytearray(encode_manifest(edits).encode()))
         out.close()
         late = [] if in_tables_to is None else stored.where(F.col("commit_ts") > in_tables_to).repartitionByRange("commit_ts").sortWithinPartitions("commit_ts").select("commit_ts", "key", "op", "value")
-        chunks = late and late.mapInArrow(_part_writer(parts, "wal", _wal_bytes), "first long, path string").sort("first").collect()
+        chunks = late and _written(late, _part_writer(parts, "wal", _wal_bytes), "first long, path string")
         _concatenated(spark, [r.path for r in chunks], f"{at}/{WAL}", b"")
 
 
+def _written(rows: DataFrame, writer: Callable, schema: str) -> list:
+    """What a writer tells of each partition, in order of its first column; sorted here, as Spark's sort would run the writer twice."""
+    return sorted(rows.mapInArrow(writer, schema).collect(), key=lambda r: r[0])  # a row a file
+
+
 def _vlog_bytes(row: tuple) -> bytes:
     return struct.pack(">II", zlib.crc32(row[1]), len(row[1])) + row[1]
 
