@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import hashing
 from tidemark.operators import storage, versions
+from tidemark.plans import queries
 from tidemark.sources import native, shared
 
 
@@ -78,6 +79,20 @@ def test_filter_of_a_table(spark, tmp_path):
     assert [r.b for r in df.select(hashing.bloom_positions(F.col("k")).alias("b")).collect()] == [hashing.bloom_bits_of(k.encode()) for k in ("", "a", "foobar", "é")]
 
 
+def test_packed_filters(spark):
+    """A key is hashed once, a lookup reads single bits, and packed filters say what filters of positions say."""
+    keys = [*(f"key{i}" for i in range(700)), "", "é", None]
+    named = spark.createDataFrame([(i % 3, k) for i, k in enumerate(keys)] + [(9, None)], "run int, key string")
+    asked = spark.createDataFrame([(k,) for k in [*keys, *(f"other{i}" for i in range(500))]], "key string")
+    both = hashing.filter_bits(named, ["run"]).join(hashing.filter_words(named, ["run"]), "run").crossJoin(asked)
+    got = both.select("run", "key", hashing.may_contain(F.col("bits"), F.col("key")).alias("a"), hashing.passes(F.col("words"), hashing.bloom_positions(F.col("key"))).alias("b")).collect()
+    assert len(got) == 4 * len(keys) + 2000 and all(r.a is r.b for r in got) and {r.b for r in got} == {True, False}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(asked.select(hashing.bloom_positions(F.col("key")).alias("b"))).count("aggregate(") == 1
+    whole = plan(queries.filter_membership(spark, "/root/testdata/sf0.001"))
+    assert "getbit(" in whole and "array_except(" not in whole
+
+
 def test_files_are_cut_into_ranges(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(native, "RANGE_BYTES", 500)
     monkeypatch.setattr(native, "BATCH_ROWS", 7)
